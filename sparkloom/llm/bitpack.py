@@ -77,10 +77,10 @@ def packed_ids(df: DataFrame, path: str = DEFAULT_VOCABULARY, block: int = BLOCK
         bits = id_bits(own.n_vocab)
         for batch in batches:
             sizes, packs, offsets = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = own.ids(text)
-                packed, at = pack_ids(ids, bits, block)
-                sizes.append(len(ids))
+            ids, ends = own.ids(batch.column(1))
+            for start, stop in zip(ends, ends[1:]):
+                packed, at = pack_ids(ids[start:stop], bits, block)
+                sizes.append(stop - start)
                 packs.append(packed)
                 offsets.append(at)
             ends = np.r_[0, np.cumsum([len(o) for o in offsets])].astype(np.int32)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,7 @@ from sparkloom import store
 from sparkloom.llm.tokens import DEFAULT_VOCABULARY, coder
 
 ALPHA = 0.7
-RANGES = 256
+RANGES = 1024
 SEED = 7
 
 
@@ -41,9 +41,9 @@ def counted(df: DataFrame, path: str = DEFAULT_VOCABULARY, text_col: str = "text
     at = len(kept)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = coder(path).count
+        counts = coder(path).counts
         for batch in batches:
-            sizes = pa.array(map(count, batch.column(at).to_pylist()), pa.int64())
+            sizes = pa.array(counts(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], sizes], names=[*batch.schema.names[:at], "n_tokens"])
 
     schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType())])
@@ -51,16 +51,46 @@ def counted(df: DataFrame, path: str = DEFAULT_VOCABULARY, text_col: str = "text
 
 
 def budgets(totals: DataFrame, weights: Mapping[str, float] | None, tokens: int | None, alpha: float = ALPHA) -> DataFrame:
-    """``(source, total, budget)`` from ``(source, total)``, a row for each source."""
+    """``(source, total, budget)`` from ``(source, total)``, a row for each source.
+
+    Weights are taken in thousandths, so sums and budgets are whole numbers in any order.
+    """
     if weights is None:
-        weighted = totals.withColumn("w", F.pow(F.col("total").cast("double"), F.lit(alpha)))
+        w = F.round(F.pow(F.col("total").cast("double"), F.lit(alpha)) * 1000)
     else:
-        table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else None
-        weighted = totals.withColumn("w", F.coalesce(table[F.col("source")], F.lit(0.0)).cast("double") if weights else F.lit(0.0))
-    every = Window.partitionBy()
-    wanted = F.sum("total").over(every) if tokens is None else F.lit(tokens)
-    share = F.col("w") / F.sum("w").over(every)
-    return weighted.where("total > 0").select("source", "total", F.floor(wanted * share).cast("long").alias("budget"))
+        w = F.lit(0)
+        for source, weight in weights.items():
+            w = F.when(F.col("source") == source, F.lit(round(weight * 1000))).otherwise(w)
+    weighted = totals.where("total > 0").withColumn("w", w.cast("decimal(17,0)"))
+    # one row, whatever the input
+    whole = weighted.agg(F.sum("total").alias("tokens"), F.sum("w").cast("decimal(20,0)").alias("weights"))
+    wanted = (F.col("tokens") if tokens is None else F.lit(tokens)).cast("decimal(20,0)")
+    shared = weighted.crossJoin(F.broadcast(whole)).withColumn("share", wanted * F.col("w"))
+    return shared.select("source", "total", F.coalesce(F.expr("share div nullif(weights, 0)"), F.lit(0)).cast("long").alias("budget"))
+
+
+def _placed(df, weights, tokens, path, seed, ranges, alpha, source_col, id_col, text_col) -> DataFrame:
+    """Every document with its key, its source's whole epochs and what the last epoch takes of it."""
+    plain = df.select(F.col(id_col).alias("doc_id"), _source(source_col).alias("source"), F.col(text_col).alias("text"))
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    # the key's order is that of a signed 64-bit number; its top bits are its range
+    span = F.floor((F.col("key") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(ranges)).cast("int")
+    keyed = store.written(counted(plain, path).where("n_tokens > 0").withColumn("key", key).withColumn("span", span), "keyed")
+    parts = keyed.groupBy("source", "span").agg(F.sum("n_tokens").alias("part"))
+    running = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("source", "span", F.coalesce(F.sum("part").over(running), F.lit(0)).alias("offset"))
+    totals = parts.groupBy("source").agg(F.sum("part").alias("total"))
+    plan = offsets.join(budgets(totals, weights, tokens, alpha), "source")
+    inside = Window.partitionBy("source", "span").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(plan, ["source", "span"])
+    start = F.col("offset") + F.col("inside")
+    rest = F.expr("budget % total")
+    last = F.when(start < rest, F.least("n_tokens", rest - start)).otherwise(F.lit(0))
+    return placed.select("source", "doc_id", "key", "n_tokens", start.alias("start_token"), F.expr("budget div total").alias("whole"), last.alias("last"))
+
+
+def _source(source_col: str) -> Column:
+    return F.coalesce(F.col(source_col).cast("string"), F.lit(""))
 
 
 def mixture(
@@ -75,40 +105,43 @@ def mixture(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``(source, epoch, doc_id, n_tokens, take_tokens)`` of every document taken, by epoch.
+    """``(source, epoch, start_token, doc_id, n_tokens, take_tokens)`` of every document taken, by epoch.
 
     ``tokens`` is the size of the whole mixture; without it, that of the input.
+    ``start_token`` is the document's place in its source's order.
     """
-    plain = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
-    sized = counted(plain, path)
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    # the key's order is that of a signed 64-bit number; its top bits are its range
-    span = F.floor((F.col("key") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(ranges)).cast("int")
-    keyed = store.written(sized.where("n_tokens > 0").withColumn("key", key).withColumn("span", span), "keyed")
-    parts = keyed.groupBy("source", "span").agg(F.sum("n_tokens").alias("part"))
-    running = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("source", "span", F.coalesce(F.sum("part").over(running), F.lit(0)).alias("offset"))
-    totals = parts.groupBy("source").agg(F.sum("part").alias("total"))
-    plan = offsets.join(budgets(totals, weights, tokens, alpha), "source")
-    inside = Window.partitionBy("source", "span").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(plan, ["source", "span"])
-    before = F.col("offset") + F.col("inside")
-    rest = F.expr("budget % total")
-    last = F.when(before < rest, F.least("n_tokens", rest - before)).otherwise(F.lit(0))
-    taken = placed.select("source", "doc_id", "n_tokens", F.expr("budget div total").alias("whole"), last.alias("last"))
-    epochs = taken.where("whole > 0 or last > 0").select(
-        "source", F.explode(F.expr("sequence(0L, whole - if(last > 0, 0L, 1L))")).alias("epoch"), "doc_id", "n_tokens", "whole", "last"
-    )
-    return epochs.select("source", "epoch", "doc_id", "n_tokens", F.expr("if(epoch < whole, n_tokens, last)").alias("take_tokens"))
+    taken = _placed(df, weights, tokens, path, seed, ranges, alpha, source_col, id_col, text_col).where("whole > 0 or last > 0")
+    epoch = F.explode(F.expr("sequence(0L, whole - if(last > 0, 0L, 1L))"))
+    epochs = taken.select("source", epoch.alias("epoch"), "start_token", "doc_id", "n_tokens", "whole", "last")
+    return epochs.select("source", "epoch", "start_token", "doc_id", "n_tokens", F.expr("if(epoch < whole, n_tokens, last)").alias("take_tokens"))
 
 
-def mix_documents(df: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+def mix_documents(
+    df: DataFrame,
+    weights: Mapping[str, float] | None = None,
+    tokens: int | None = None,
+    path: str = DEFAULT_VOCABULARY,
+    seed: int = SEED,
+    ranges: int = RANGES,
+    alpha: float = ALPHA,
+    source_col: str = "source",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """The documents of the mixture, once for each epoch that has them, with ``df``'s columns.
 
-    Documents stay whole here: the one at a source's boundary brings all its text. Rows
-    with a null id are left out, since the mixture could not name them; rows that repeat
-    an id come as often as the id's first row does.
+    The keys decide: a source's last epoch has what lies up to the key and id of its cut,
+    a row for each source. So texts are not shuffled, and each document is judged where it
+    is. Documents stay whole: the one at the cut brings all its text, and rows that repeat
+    its id come with it.
     """
-    times = mixture(df.where(F.col(id_col).isNotNull()), id_col=id_col, **settings)
-    times = times.groupBy(F.col("doc_id").alias("_id"), "epoch").agg(F.lit(1).alias("one"))
-    return df.join(times, df[f"`{id_col}`"] == times["_id"]).select(*[df[f"`{c}`"] for c in df.columns])
+    placed = _placed(df, weights, tokens, path, seed, ranges, alpha, source_col, id_col, text_col)
+    edge = F.max(F.when(F.col("last") > 0, F.struct("key", F.col("doc_id").alias("id"))))
+    cuts = placed.groupBy(F.col("source").alias("_source")).agg(F.max("whole").alias("_whole"), edge.alias("_edge"))
+    cuts = store.written(cuts, "cuts")
+    id_ = F.col(f"_doc.`{id_col}`")
+    own = F.struct(F.xxhash64(F.lit(seed), id_).alias("key"), id_.alias("id"))
+    times = F.col("_whole") + F.when(own <= F.col("_edge"), 1).otherwise(0)
+    held = df.where(F.length(text_col) > 0).select(_source(source_col).alias("_source"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"))
+    mixed = held.join(cuts, "_source").select("_doc", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_"))
+    return mixed.select("_doc.*")
