@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom import store
-from sparkloom.llm import quality
+from sparkloom.llm import mixing, packing, quality, secret_scan, simhash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,11 +13,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.repetition_filter(docs).select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates the document with the smallest id stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return secret_scan.redact(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's budget has them."""
+    return mixing.mix_documents(docs)
+
+
+def packing_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture in near-equal token windows, a row for each piece of a document."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("near dedup", near_dedup),
+    ("secret scans", secret_scans),
+    ("mixing", mixing_sources),
+    ("packing", packing_windows),
 ]
 
-#: The first stage's suffix arrays are beyond SQL; the tests hold run() against brute force.
+#: Suffix arrays, fingerprints and token ids are beyond SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
