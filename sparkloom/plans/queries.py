@@ -544,7 +544,7 @@ def _bodies(spark: SparkSession, d: str, fields: dict) -> DataFrame:
     return _rehosted(spark, d).withColumn("points", F.col("page_id") * 37 % 250).groupBy((F.col("page_id") % 10).alias("b")).agg(listed.alias("hits"))
 
 
-@_query(f"WITH {_REHOSTED} SELECT canonical AS url, CAST(1000 + page_id AS BIGINT) AS created_at FROM parts WHERE {_POINTS} > 100 AND NOT regexp_matches(lower(path), '[.]({_RE(path_rules.HARVEST_BINARY)})$') AND regexp_replace(host, '^www[.]', '') IN (SELECT unnest({_array(sorted(host_rules.HARVESTED))}))".replace("IN (SELECT unnest(", "IN (SELECT unnest("))
+@_query(f"WITH {_REHOSTED} SELECT canonical AS url, CAST(1000 + page_id AS BIGINT) AS created_at FROM parts WHERE {_POINTS} > 100 AND NOT regexp_matches(lower(path), '[.]({_RE(path_rules.HARVEST_BINARY)})$') AND EXISTS (SELECT 1 FROM (SELECT unnest({_array(sorted(host_rules.HARVESTED))}) AS r) WHERE regexp_replace(host, '^www[.]', '') = r OR ends_with(host, '.' || r))")
 def harvest_stories(spark: SparkSession, d: str) -> DataFrame:
     """Links of well-scored stories on hosts that are harvested."""
     body = _bodies(spark, d, {"url": F.col("canonical"), "points": F.col("points"), "created_at_i": F.col("page_id") + 1000})
