@@ -4,11 +4,14 @@ The text's words (a run without white space that is longer than 64 characters co
 single characters, so scripts without spaces work too) form a sequence of integers. The
 suffix array comes from prefix doubling, in which only suffixes still tied are sorted
 again. The ranks kept of each doubling give the longest common prefixes of neighbours in
-that order. A suffix lies in the interval whose common prefix is the longer one of those
-with its two neighbours: that is its longest repeat. Repeats that merely continue the
-repeat one word before them are not maximal and are left out. The spans of the maximal
-ones, in all their places, are united. Many documents share one array: each numbers its
-words apart from the others and ends in a number of its own, so no repeat leaves it.
+that order. Going out from a suffix on either side, the common prefix shrinks interval by
+interval; where the first suffix is met that begins earlier in the text, it is the longest
+repeat of something before. Repeats that merely continue the repeat one word before them
+are not maximal and are left out. The spans of the maximal ones are united: they hold all
+that the text says again. What it says for the first time is not held against it, so a
+line at the head and foot of a short text never makes more than half of it a repeat. Many
+documents share one array: each numbers its words apart from the others and ends in a
+number of its own, so no repeat leaves it.
 
 Lengths are in characters of the text with every run of white space taken as one.
 
@@ -27,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-MIN_CHARS = 32
-MAX_FRACTION = 0.8
+MIN_CHARS = 24
+MAX_FRACTION = 0.5
 MAX_LONGEST = 1000
 LONG_RUN = 64
 WORDS_AT_ONCE = 300_000
@@ -95,6 +98,23 @@ def neighbour_lcp(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def earlier_match(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each place the length of the longest prefix that also begins at an earlier place."""
+    n = len(order)
+    best = np.zeros(n, np.int64)
+    for place, common in ((order, lcp), (order[::-1], np.r_[0, lcp[:0:-1]])):
+        # jump over suffixes that begin later; what they jumped over begins later still
+        link, least = np.arange(n) - 1, common.copy()
+        open_ = np.flatnonzero(least > 0)
+        while len(open_):
+            open_ = open_[place[link[open_]] > place[open_]]
+            over = link[open_]
+            least[open_], link[open_] = np.minimum(least[open_], least[over]), link[over]
+            open_ = open_[least[open_] > 0]
+        best[place] = np.maximum(best[place], least)
+    return best
+
+
 def words(text: str | None) -> tuple[list[str], list[int]]:
     """The text's units and, for each, the characters that it takes with the space after it."""
     if not text:
@@ -128,9 +148,7 @@ def _profile(units: list[str], sizes: list[int], ends: list[int], min_chars: int
     width = np.zeros(n, np.int64)
     width[at] = sizes
     order, ranks = suffix_array(ids)
-    lcp = neighbour_lcp(order, ranks)
-    longest = np.empty(n, np.int64)
-    longest[order] = np.maximum(lcp, np.r_[lcp[1:], 0])
+    longest = earlier_match(order, neighbour_lcp(order, ranks))
     before = np.r_[0, np.cumsum(width)]
     maximal = np.r_[True, longest[:-1] <= longest[1:]] & (longest > 0)
     start = np.flatnonzero(maximal)
