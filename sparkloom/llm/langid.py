@@ -40,6 +40,7 @@ BUCKETS, DIM, GRAMS = 1 << 16, 16, (2, 3, 4)
 TRAIN_ROWS, TRAIN_CHARS, SEED = 200, 20_000, 11
 EPOCHS, BATCH, RATE = 4, 32, 4.0
 REJECTED = 0.002
+BYTES_AT_ONCE = 4 << 20
 UNKNOWN = "und"
 _NOT_LETTERS = r"[^\p{L}\p{M}]+"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -253,7 +254,7 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
         own = sent.value
         for batch in batches:
             at = 0
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(1), BYTES_AT_ONCE):
                 if own is None:
                     best, most, good = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), bool)
                 else:
