@@ -38,7 +38,7 @@ from sparkloom.llm.words import stretches
 
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (2, 3, 4)
 TRAIN_ROWS, TRAIN_CHARS, SEED = 200, 20_000, 11
-EPOCHS, BATCH, RATE = 4, 32, 4.0
+EPOCHS, STEPS, BATCH, RATE = 4, 800, 16, 4.0
 REJECTED = 0.002
 BYTES_AT_ONCE = 4 << 20
 UNKNOWN = "und"
@@ -170,10 +170,14 @@ def train(texts: list[str], labels: list[str], seed: int = SEED) -> Model | None
     bags = _buckets(passages)
     use = np.array([i for i, b in enumerate(bags) if len(b)], np.int64)
     rows = (dice.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
-    weights, bias = np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    steps, step = max(1, EPOCHS * -(-len(use) // BATCH)), 0
-    for _ in range(EPOCHS):
-        for batch in np.array_split(dice.permutation(use), max(1, -(-len(use) // BATCH))):
+    weights = dice.standard_normal((DIM, len(languages)), np.float32)
+    bias = np.zeros(len(languages), np.float32)
+    # small samples are gone through more often
+    each = max(1, -(-len(use) // BATCH))
+    epochs = max(EPOCHS, -(-STEPS // each)) if len(use) else 0
+    steps, step = epochs * each, 0
+    for _ in range(epochs):
+        for batch in np.array_split(dice.permutation(use), each):
             if not len(batch):
                 continue
             rate = RATE * (1 - step / steps)
