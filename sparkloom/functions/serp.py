@@ -102,7 +102,8 @@ def read_tokens(key: str, now_ms: int):
 
     @F.pandas_udf(schema)
     def read(tokens: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_token(t, key, now_ms) or {} for t in tokens], columns=schema.names)
+        found = [read_token(t, key, now_ms) or {} for t in tokens]
+        return pd.DataFrame({n: pd.Series([c.get(n) for c in found], dtype=object) for n in schema.names})
 
     return read
 

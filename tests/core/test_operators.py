@@ -1,0 +1,228 @@
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.functions import serp
+from sparkloom.operators import hybrid, lexical, pages, tables, vectors
+from sparkloom.sources import config, records
+from sparkloom.streaming import streams
+
+
+def test_vectors_top_k_matches_brute_force(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"c{i:03d}", rng.integers(-3, 4, 8).astype(float).tolist()) for i in range(300)] + [("short", [1.0]), ("none", None)]
+    asked = [(i, rng.integers(-3, 4, 8).astype(float).tolist()) for i in range(9)]
+    v = spark.createDataFrame(rows, "chunk_id string, vector array<float>").repartition(5)
+    q = spark.createDataFrame(asked, "query_id long, vector array<float>")
+    want = set()
+    for i, x in asked:
+        scored = sorted((-round(float(np.dot(x, y)), 6), c) for c, y in rows if y is not None and len(y) == 8)
+        want |= {(i, r + 1, c, -s) for r, (s, c) in enumerate(scored[:7])}
+    assert {tuple(r) for r in vectors.top_k(v, q, 7).collect()} == want
+    assert {tuple(r) for r in vectors.top_k(v, q, 7, at_once=2).collect()} == want
+    assert vectors.top_k(v, q.limit(0), 7).count() == 0 and vectors.top_k(v.limit(0), q, 7).count() == 0
+
+
+def test_ann_recall_rises_to_one(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"c{i}", x.tolist()) for i, x in enumerate(vectors.unit_rows(rng.standard_normal((800, 16))))]
+    v = spark.createDataFrame(rows, "chunk_id string, vector array<float>")
+    q = spark.createDataFrame([(i, rows[i * 7][1]) for i in range(20)], "query_id long, vector array<float>")
+    centres = vectors.centroids(v, n=16)
+    index = vectors.assign_cells(v, centres).cache()
+    truth = vectors.top_k(v, q, 10).cache()
+    mean = [vectors.recall(truth, vectors.ann_top_k(index, centres, q, 10, n)).agg(F.avg("recall")).first()[0] for n in (1, 8, 16)]
+    assert mean[0] < mean[2] == 1.0 and mean[1] >= 0.9
+
+
+def test_embedder_and_pooling(spark):
+    e = vectors.HashingEmbedder(32)
+    rows = e.embed(["a b c", "c b a", "", None])
+    assert np.allclose(np.linalg.norm(rows, axis=1), [1, 1, 0, 0]) and not np.allclose(rows[0], rows[1])
+    states = np.array([[[3.0, 4.0], [9.0, 9.0]]])
+    assert np.allclose(vectors.mean_pool(states, np.array([[1, 0]])), [[0.6, 0.8]])
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "i long, t string")
+    new = vectors.embed_new(df, df.where("i = 2"), e, "i", "t")
+    assert sorted(r.i for r in new.collect()) == [1, 3]
+    raw = spark.createDataFrame([(bytearray(np.array([1, 2], "<f4").tobytes()),), (bytearray(b"x"),)], "b binary")
+    assert [r.v for r in raw.select(vectors.decode_vector(F.col("b"), 2).alias("v")).collect()] == [[1.0, 2.0], None]
+
+
+def brute_lexical(docs, queries, boosts, k):
+    word = re.compile(r"[^\W_]+")
+    fields = {f: {i: word.findall((d[f] or "").lower()) for i, d in docs.items()} for f in boosts}
+    out = set()
+    for q, text in queries:
+        terms = list(dict.fromkeys(word.findall(text.lower())))
+        scored = []
+        for i in docs:
+            if not terms or not all(any(t in fields[f][i] for f in boosts) for t in terms):
+                continue
+            s = 0.0
+            for f, boost in boosts.items():
+                bags = fields[f]
+                n, mean = len(bags), sum(map(len, bags.values())) / len(bags)
+                idf = {t: math.log(1 + (n - sum(t in b for b in bags.values()) + 0.5) / (sum(t in b for b in bags.values()) + 0.5)) for t in terms}
+                own = bags[i]
+                for t in terms:
+                    if tf := own.count(t):
+                        s += boost * idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / mean))
+                told = word.findall(text.lower())
+                if len(told) <= 5 and f in lexical.PHRASE_BOOSTS and f" {' '.join(told)} " in f" {' '.join(own)} ":
+                    s += lexical.PHRASE_BOOSTS[f] * sum(idf[t] for t in terms if t in own)
+            scored.append((-round(s, 6), i))
+        out |= {(q, r + 1, i) for r, (_, i) in enumerate(sorted(scored)[:k])}
+    return out
+
+
+def test_lexical_matches_brute_force(spark):
+    rng = random.Random(5)
+    make = lambda n: " ".join(f"w{rng.randrange(12)}" for _ in range(n))
+    docs = {f"c{i:02d}": {"title": make(3), "text": make(rng.randrange(0, 25))} for i in range(60)}
+    queries = [(i, make(rng.randrange(1, 8))) for i in range(20)] + [(50, "w1 w1"), (51, "absent"), (52, "")]
+    d = spark.createDataFrame([(i, x["title"], x["text"]) for i, x in docs.items()], "chunk_id string, title string, text string")
+    q = spark.createDataFrame(queries, "query_id long, text string")
+    boosts = {"title": 4.0, "text": 1.0}
+    got = lexical.search(d, q, 5, boosts).collect()
+    assert {(r.query_id, r["rank"], r.chunk_id) for r in got} == brute_lexical(docs, queries, boosts, 5)
+
+
+def test_hybrid_on_a_small_corpus(spark):
+    url = "https://{}.example.com/{}"
+    rows = [
+        ("a", url.format("x", 1), ["Sorting", "Quick sort"], "Quick sort picks a pivot element", True),
+        ("b", url.format("x", 2), ["Sorting", "Quick sort"], "Quick sort picks a pivot element", True),
+        ("c", url.format("x", 2), ["Sorting", "Merge sort"], "Merge sort splits lists quick", True),
+        ("d", url.format("y", 3), ["Sorting", "Quick sort"], "Not a leaf quick sort", False),
+        ("e", url.format("y", 4), ["Cooking"], "Pasta needs boiling water", True),
+        ("f", url.format("x", 5), ["Quick sort"], "Another page about quick sort speed", True),
+        ("g", url.format("x", 6), ["Quick sort"], "More words here on quick sort memory", True),
+        ("h", url.format("x", 7), ["Quick sort"], "Yet further notes concerning quick sort", True),
+    ]
+    chunks = spark.createDataFrame(rows, "chunk_id string, source_url string, heading_chain array<string>, text string, is_leaf boolean").cache()
+    e = vectors.HashingEmbedder(64)
+    q = spark.createDataFrame([(1, "quick sort"), (2, "boiling pasta water"), (3, "")], "query_id long, text string")
+    out = hybrid.search(chunks, vectors.embed(chunks, e, "chunk_id", "text"), q, e, 5).collect()
+    first = [r.chunk_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == 1]
+    assert "d" not in first and not {"a", "b"} <= set(first)
+    assert sum(c in "abcfgh" for c in first) <= 2  # at most two of a host
+    assert [r.chunk_id for r in out if r.query_id == 2] == ["e"]
+    with pytest.raises(ValueError):
+        hybrid.search(chunks, chunks, q, e, 1001)
+
+
+def test_expansion_and_authority(spark):
+    df = spark.createDataFrame([("the js api",), ("c++ rust",), ("plain",)], "text string").withColumn("query_id", F.monotonically_increasing_id())
+    out = {r.query: r for r in hybrid.prepare(df).collect()}
+    assert out["the js api"].expanded_text == "the js api endpoint interface javascript" and out["plain"].expanded_text == "plain"
+    t = F.array(F.lit("rust"))
+    got = df.limit(1).select(hybrid.authority(t, F.lit("doc.rust-lang.org")), hybrid.authority(t, F.lit("ex.com")), hybrid.authority(F.array(F.lit("linux")), F.lit("www.kernel.org"))).first()
+    assert tuple(got) == (0.08, 0.0, 0.08)
+
+
+def test_pages_to_chunks(spark):
+    body = "<h1>Head</h1>" + "".join(f"<p>Sentence number {i} stands here with words. It has a second one.</p>" for i in range(12))
+    rows = [("https://docs.rs/x", f"<html><head><title>T</title><link rel=canonical href='/y?b=1&a=2'></head><body>{body}<p>go on now <a href='/z'>z</a> and read some more of this text, it is long</p><p><a href='https://example.com/'>out</a></p></body></html>")]
+    rows += [("https://docs.rs/n", f"<meta name=robots content=none>{body}"), ("https://docs.rs/s", "<p>short</p>"), ("no url", body), ("https://docs.rs/null", None)]
+    df = spark.createDataFrame(rows, "url string, html string")
+    got = {r.final_url: r for r in pages.parse_pages(df).collect()}
+    assert [got[u].reject_reason for u, _ in rows] == [None, "noindex", "low_text", "redirect_bad_url", "low_text"]
+    assert got["https://docs.rs/x"].canonical_url == "https://docs.rs/y?a=2&b=1" and got["https://docs.rs/x"].outlinks == ["https://docs.rs/z"]
+    chunks = pages.page_chunks(df).collect()
+    assert [c.position for c in sorted(chunks, key=lambda c: c.position)] == list(range(13)) and {c.source_url for c in chunks} == {"https://docs.rs/y?a=2&b=1"}
+    assert chunks[0].text.startswith("Head\nSentence") and chunks[0].embed_text.startswith("T\nHead\nSentence")
+    assert pages.page_chunks(df.limit(0)).count() == 0
+
+
+def test_admission_and_waves(spark):
+    links = spark.createDataFrame([("https://docs.rs/a",), ("https://docs.rs/a#x",), ("https://docs.rs/b",), ("https://docs.rs/c",), ("https://docs.rs/d/x",), ("https://uops.info/x",), ("http://docs.rs/e",)], "url string")
+    one = lambda u: spark.createDataFrame([(u,)], "url string")
+    robots = spark.createDataFrame([("docs.rs", ["/d/"])], "host string, disallow array<string>")
+    counts = spark.createDataFrame([("uops.info", 500)], "host string, n long")
+    out = pages.admit(links, F.lit(2), one("https://docs.rs/b"), one("https://docs.rs/c"), robots, counts)
+    assert [tuple(r) for r in out.collect()] == [("https://docs.rs/a", "docs.rs", 2, 110)]
+    assert pages.admit(links, F.lit(7), one("x"), one("y"), robots, counts).count() == 0
+    f = spark.createDataFrame([("u1", "h", 1, 5), ("u2", "h", 0, 5), ("u3", "h", 0, 9), ("u4", "en.wikipedia.org", 0, 1), ("u5", "en.wikipedia.org", 0, 0)], "url string, host string, depth int, priority int")
+    assert {r.url: r.start_ms for r in pages.waves(f).collect()} == {"u3": 0, "u2": 100, "u1": 200, "u4": 0, "u5": 1200}
+
+
+def test_fetch_gates(spark):
+    good = dict(url="https://docs.rs/", dns_ok=True, robots_ok=True, error=None, status=200, final_url="https://docs.rs/a", final_robots_ok=True, content_type="Text/HTML; x", body_ok=True)
+    cases = [({}, None), ({"url": "x"}, "bad_url"), ({"dns_ok": False}, "dns_fail"), ({"robots_ok": False}, "robots_blocked"), ({"error": "e"}, "http_5xx"), ({"status": 404}, "http_4xx"), ({"status": 429}, "http_5xx"), ({"status": 503}, "http_5xx")]
+    cases += [({"final_url": "http://x"}, "redirect_bad_url"), ({"final_url": "https://ex.com/"}, "redirect_disallowed"), ({"final_url": "https://docs.rs/a.pdf"}, "redirect_filtered"), ({"final_robots_ok": False}, "redirect_robots_blocked"), ({"content_type": None}, "not_html"), ({"body_ok": False}, "body_read_err")]
+    schema = "i int, url string, dns_ok boolean, robots_ok boolean, error string, status int, final_url string, final_robots_ok boolean, content_type string, body_ok boolean"
+    df = spark.createDataFrame([{"i": i, **good, **c} for i, (c, _) in enumerate(cases)], schema)
+    got = {r.i: r.reject_reason for r in pages.fetch_verdict(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
+
+
+def test_tables(spark):
+    a, b = (spark.createDataFrame(x, "k long, v string") for x in ([(1, "a"), (2, "b")], [(2, "B"), (3, "C")]))
+    assert sorted(map(tuple, tables.upsert(a, b, "k").collect())) == [(1, "a"), (2, "B"), (3, "C")]
+    assert tables.merge_counts(a, b, "k").first().written == 1
+    values = spark.createDataFrame([("g", float(i)) for i in range(1, 2001)] + [("h", 7.0), ("h", None)], "g string, v double")
+    for share in (0.0, 0.5, 0.95, 1.0):
+        want = {"g": 1 + math.floor(1999 * share + 0.5), "h": 7}
+        assert {r.g: r.percentile for r in tables.percentile(values, "v", share, ["g"]).collect()} == want
+    u = spark.createDataFrame([("https://a.com/x",), ("https://a.com/y",), ("https://b.com",), ("bad",), (None,)], "url string")
+    assert [tuple(r) for r in tables.top_hosts(u).collect()] == [("a.com", 2), ("b.com", 1)]
+
+
+def test_snippets_and_clicks(spark):
+    assert serp.snippet("a b-tree & <x>", serp.query_terms("what b-tree x")) == "a b-tree &amp; &lt;x&gt;"
+    assert serp.snippet("Tree trees C++", serp.query_terms("tree c++")) == "<b>Tree</b> trees <b>C++</b>"
+    long = serp.snippet("é" * 200, set())
+    assert long == "é" * 148 + "..." and len(serp.snippet("é" * 150, set())) == 150
+    now = 10_000_000
+    rows = [("q|1", 2, "https://e.com/?a=1&b", now), ("old", 1, "u", now - 3_600_001), ("soon", 1, "u", now + 60_001)]
+    df = spark.createDataFrame(rows, "q string, p long, u string, t long")
+    tokens = df.select(serp.click_token("key", *map(F.col, "qput")).alias("token"))
+    assert [tuple(r)[1:] for r in streams.clicks(tokens, "key", now).collect()] == [rows[0]]
+    assert streams.clicks(tokens, "other", now).count() == 0
+    for bad in (None, "", "!!", "e30"):
+        assert serp.read_token(bad, "key", now) is None
+
+
+def test_wiki_and_harvest(spark):
+    lines = ['{"title":" A ","summary":"s1"}', '{"title":"a","extract":"e2","description":"d"}', '{"title":"b","summary":"","extract":"x"}', '{"title":"","summary":"x"}', "not json", '{"title":"C","summary":"z","image_url":"i"}']
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, value string")
+    out = {r.wiki_key: r for r in records.wiki_records(df, order_col="n").collect()}
+    assert set(out) == {"a", "c"} and out["a"].summary == "e2" and out["c"].image_url == "i"
+    hn = spark.createDataFrame([('{"hits":[{"url":"https://lwn.net/x","points":101,"created_at_i":5},{"url":"https://lwn.net/y","points":100,"created_at_i":3},{"url":"https://nope.com","points":999,"created_at_i":0},{"points":200}]}',), ("bad",)], "value string")
+    assert [tuple(r) for r in records.hn_links(hn).collect()] == [("https://lwn.net/x", 5)]
+    assert tuple(records.hn_cursor(hn).first()) == (3, 4)
+    lob = spark.createDataFrame([('[{"url":"http://fly.io/a","score":10},{"url":"https://fly.io/b.pdf","score":50},{"url":"https://fly.io/c","score":9}]',)], "value string")
+    assert [r.url for r in records.lobsters_links(lob).collect()] == ["http://fly.io/a"]
+    page = spark.createDataFrame([('<a href="https://tildes.net/x"><a href="https://jvns.ca/p">',)], "html string")
+    assert [r.url for r in records.tildes_links(page).collect()] == ["https://jvns.ca/p"]
+    seen = spark.createDataFrame([("https://jvns.ca/p",)], "url string")
+    assert records.enqueue(records.tildes_links(page), seen, seen.limit(0)).count() == 0
+
+
+def test_training_pairs(spark):
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a", " ", "c", "d"])], "p long, n long, t string")
+    rows = records.label_rows(df, "p", "n", "t").withColumn("label", F.lit(2))
+    got = sorted(tuple(r) for r in records.training_pairs(rows).collect())
+    assert got == [(" ", "a", 1, 0), ("c", "a", 2, 1), ("d", "a", 3, 0), ("d", "c", 1, 0)]
+
+
+def test_streams(spark, tmp_path):
+    for part in range(3):
+        spark.range(part * 10, part * 10 + 10).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = streams.page_stream(spark, f"{tmp_path}/in", "id long")
+    for _ in range(2):  # a second run finds nothing new
+        streams.drain(source.where("id % 2 = 0"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 15
+
+
+def test_config(tmp_path):
+    (tmp_path / "c.toml").write_text("[chunking]\nwindow_size = 5\n")
+    assert config.load(tmp_path / "c.toml").chunking == config.Chunking(3, 5, 1)
+    assert config.load(tmp_path / "none.toml") == config.Config()
+    (tmp_path / "d.toml").write_text("[chunking]\nnope = 5\n")
+    with pytest.raises(TypeError):
+        config.load(tmp_path / "d.toml")
