@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom import store
 from sparkloom.llm import bitpack, chat, langid, mixing, packing, quality, search, secret_scan, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return store.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
