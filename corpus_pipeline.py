@@ -10,7 +10,7 @@ from sparkloom.llm import mixing, packing, quality, secret_scan, simhash
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat themselves too much go."""
-    return quality.repetition_filter(docs).select(*docs.columns)
+    return quality.repetition_filter(store.spread(docs)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
