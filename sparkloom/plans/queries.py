@@ -37,7 +37,7 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return store.spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def _listed(items) -> str:
