@@ -17,13 +17,14 @@ from sparkloom.functions import urls
 from sparkloom.functions.text import STOP_WORDS
 
 SNIPPET_BYTES = 300
+_ENTITIES = {ord(c): f"&{name};" for c, name in zip("&<>\"'", "amp lt gt quot #39".split())}
 TOKEN_MS, SKEW_MS = 3_600_000, 60_000
 
 
 def escape_html(text: Column) -> Column:
     """The text with HTML's own characters as entities."""
-    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
-        text = F.replace(text, F.lit(plain), F.lit(entity))
+    for code, entity in _ENTITIES.items():  # the ampersand comes first
+        text = F.replace(text, F.lit(chr(code)), F.lit(entity))
     return text
 
 
@@ -41,7 +42,7 @@ def query_terms(query: str | None) -> set[str]:
 
 
 def _escape(text: str) -> str:
-    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", "&#39;")
+    return text.translate(_ENTITIES)
 
 
 def snippet(text: str | None, terms: set[str]) -> str:

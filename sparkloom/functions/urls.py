@@ -207,7 +207,7 @@ def rejected_by(url: Column | str) -> Column:
             | (within("arxiv.org") & (h != "arxiv.org"))
             | (within("usenix.org") & (h != "www.usenix.org"))
             | (within("kernel.org") & ~h.isin("docs.kernel.org", "www.kernel.org"))
-            | (within("haskell.org") & ~h.isin("downloads.haskell.org", "wiki.haskell.org", "www.haskell.org")),
+            | (within("haskell.org") & ~h.rlike("^(downloads|wiki|www)[.]haskell[.]org$")),
         ),
         ("generated", low.rlike(r"/doxygen/|(-members|_source)\.html$")),
         ("localized", low.rlike("^/(" + "|".join(paths.LOCALES) + ")(/|-|$)")),

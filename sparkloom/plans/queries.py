@@ -48,7 +48,7 @@ def _array(items) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
 
 
-# ---- URLs -----------------------------------------------------------------------------
+# URLs
 
 _CANON = """
 canon AS (
@@ -224,7 +224,7 @@ def url_keys(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", urls.url_key("url").alias("url_key"), urls.display_url("url").alias("display"))
 
 
-# ---- pages and chunks -----------------------------------------------------------------
+# pages and chunks
 
 
 @_query()
@@ -325,7 +325,7 @@ def density_filter(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", ((size > 0) & (size / (2.0 * F.length("text")) > html.MIN_TEXT) & (F.col("n_chars") % 7 / size < html.MAX_ANCHOR)).alias("kept"))
 
 
-# ---- vectors --------------------------------------------------------------------------
+# vectors
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -405,7 +405,7 @@ def incremental_rows(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", "n_chars").join(_t(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-# ---- lexical and hybrid ---------------------------------------------------------------
+# lexical and hybrid
 
 
 def _doc_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -522,7 +522,7 @@ def knowledge_panel(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.panel(wiki, wv, qv).select("query_id", "wiki_key", "score", "title")
 
 
-# ---- sources --------------------------------------------------------------------------
+# sources
 
 
 @_query(
@@ -574,7 +574,7 @@ def link_extraction(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", found.alias("links"))
 
 
-# ---- tables ---------------------------------------------------------------------------
+# tables
 
 
 @_query(
@@ -622,7 +622,7 @@ def percentiles(spark: SparkSession, d: str) -> DataFrame:
     return tables.percentile(_t(spark, d, "events"), "value", 0.95, ["event_type"])
 
 
-# ---- results and clicks ---------------------------------------------------------------
+# results and clicks
 
 
 @_query()
@@ -676,7 +676,7 @@ def click_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return streams.clicks(e.select(token.alias("token")), KEY, NOW_MS).drop("click_id")
 
 
-# ---- streams --------------------------------------------------------------------------
+# streams
 
 
 def _place(spark: SparkSession) -> str:

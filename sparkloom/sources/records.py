@@ -63,7 +63,7 @@ def lobsters_links(bodies: DataFrame, body_col: str = "value") -> DataFrame:
 
 def tildes_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``(url)`` of a page's outward links whose host is harvested."""
-    links = pages.select(F.explode(F.regexp_extract_all(html_col, F.lit('href="(https?://[^"]+)"'), 1)).alias("url"))
+    links = pages.select(F.explode(F.regexp_extract_all(html_col, F.lit('href="(http[^"]+)"'), 1)).alias("url"))
     return links.where(~F.col("url").contains("tildes.net") & urls.harvest_worthy("url"))
 
 
