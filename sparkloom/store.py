@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The tables of each application that are still there.
+_kept: dict[str, set[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
@@ -29,6 +33,7 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _kept.setdefault(spark.sparkContext.applicationId, set()).add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sparkloom_path = path
     return out
@@ -37,12 +42,20 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 def drop(df: DataFrame) -> None:
     """Delete the files behind a table that :func:`written` returned."""
     path = getattr(df, "_sparkloom_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote here, once no result that reads them is wanted."""
+    for path in list(_kept.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _kept.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 from sparkloom import store
 
 
@@ -5,6 +7,9 @@ def test_written_table_reads_back_and_drops(spark):
     df = store.written(spark.range(10), "t")
     assert df.count() == 10
     store.drop(df)
+    store.written(spark.range(3), "t")
+    store.clear(spark)
+    assert not [p for p in Path(store.shared_dir(spark)).glob("t-*")]
 
 
 def test_shared_dir_follows_the_setting(spark):
