@@ -351,10 +351,11 @@ def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def ann_top_k(spark: SparkSession, d: str) -> DataFrame:
-    """The ten nearest of the probed cells."""
+    """The ten nearest, from the probed cells and all others that may hold one of them."""
     own = _vectors(spark, d)
     centres = vectors.centroids(own)
-    return vectors.ann_top_k(vectors.assign_cells(own, centres), centres, _asked(spark, d))
+    index = store.written(vectors.assign_cells(own, centres), "ivf")
+    return vectors.ann_top_k(index, centres, _asked(spark, d), exact=True)
 
 
 @_query()

@@ -39,6 +39,31 @@ def test_ann_recall_rises_to_one(spark):
     assert mean[0] < mean[2] == 1.0 and mean[1] >= 0.9
 
 
+def test_exact_ann_is_brute_force(spark):
+    rng = np.random.default_rng(5)
+    near = rng.standard_normal((6, 8))[rng.integers(0, 6, 500)] * 3 + rng.standard_normal((500, 8))
+    rows = [(f"c{i:03d}", x.tolist()) for i, x in enumerate(near)] + [("pair", [1.0, 2.0]), ("other", [0.5, 3.0]), ("none", None)]
+    v = spark.createDataFrame(rows, "chunk_id string, vector array<float>").repartition(3)
+    q = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(40)] + [(99, [1.0, 1.0])], "query_id long, vector array<float>")
+    centres = vectors.centroids(v, n=12)
+    index = vectors.assign_cells(v, centres).cache()
+    want = {tuple(r) for r in vectors.top_k(v, q, 10).collect()}
+    assert len(want) == 402
+    assert {tuple(r) for r in vectors.ann_top_k(index, centres, q, 10, 1, exact=True).collect()} == want
+    assert vectors.ann_top_k(index, centres, q.limit(0), exact=True).count() == 0
+    nothing = vectors.centroids(v.limit(0))
+    assert vectors.ann_top_k(vectors.assign_cells(v.limit(0), nothing), nothing, q, exact=True).count() == 0
+
+
+def test_centres_are_fitted_over_all_vectors(spark):
+    at = spark.range(30_000).selectExpr("id", "xxhash64(id) AS h").orderBy("h", "id").limit(20_000).select("id")
+    late = spark.range(30_000).join(at, "id", "left_anti").withColumn("late", F.lit(1.0))
+    v = spark.range(30_000).join(late, "id", "left").selectExpr("id AS chunk_id", "array(1.0f, cast(coalesce(late, 0.0) AS float)) AS vector")
+    centre = vectors.centroids(v, n=1)
+    mean = np.array([2 + 0.5**0.5, 0.5**0.5])
+    assert np.allclose(centre, mean / np.linalg.norm(mean), atol=1e-5)
+
+
 def test_embedder_and_pooling(spark):
     e = vectors.HashingEmbedder(32)
     rows = e.embed(["a b c", "c b a", "", None])
