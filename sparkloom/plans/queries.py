@@ -338,6 +338,11 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return v.join(_t(spark, d, "benchmark").select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
 
 
+def _everyone(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector as a query."""
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 _KNN = """WITH s AS (SELECT q.vec_id AS query_id, CAST(e.vec_id AS VARCHAR) AS chunk_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
   FROM embeddings q, embeddings e WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, score FROM s)"""
@@ -351,17 +356,17 @@ def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def ann_top_k(spark: SparkSession, d: str) -> DataFrame:
-    """The ten nearest, from the probed cells and all others that may hold one of them."""
+    """The ten nearest of every vector, from the probed cells and all others that may hold one of them."""
     own = _vectors(spark, d)
     centres = vectors.centroids(own)
     index = store.written(vectors.assign_cells(own, centres), "ivf")
-    return vectors.ann_top_k(index, centres, _asked(spark, d), exact=True)
+    return vectors.ann_top_k(index, centres, _everyone(spark, d), exact=True)
 
 
 @_query()
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Mean recall at ten for several numbers of probes."""
-    own, asked = _vectors(spark, d), _asked(spark, d)
+    """Mean recall at ten over all vectors for several numbers of probes."""
+    own, asked = _vectors(spark, d), _everyone(spark, d)
     centres = vectors.centroids(own)
     index = store.written(vectors.assign_cells(own, centres), "ivf")
     truth = store.written(vectors.top_k(own, asked), "truth")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import serp
 from sparkloom.operators import hybrid, lexical, pages, tables, vectors
+from sparkloom.plans import queries
 from sparkloom.sources import config, records
 from sparkloom.streaming import streams
 
@@ -64,6 +65,17 @@ def test_centres_are_fitted_over_all_vectors(spark):
     assert np.allclose(centre, mean / np.linalg.norm(mean), atol=1e-5)
 
 
+def test_every_vector_is_a_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    names = np.array([str(r.vec_id) for r in rows])
+    matrix = np.array([r.embedding for r in rows], np.float64)
+    scores = np.round(matrix @ matrix.T, vectors.DIGITS)
+    want = {(r.vec_id, n + 1, names[c]) for r, own in zip(rows, scores) for n, c in enumerate(np.lexsort((names, -own))[:10])}
+    got = {(r.query_id, r["rank"], r.chunk_id) for r in queries.QUERIES["ann_top_k"](spark, sf).collect()}
+    assert len(got) == 10 * len(rows) and got == want
+
+
 def test_embedder_and_pooling(spark):
     e = vectors.HashingEmbedder(32)
     rows = e.embed(["a b c", "c b a", "", None])
