@@ -2,8 +2,11 @@
 
 A vocabulary learned from ordinary text covers words, names and even made-up syllables
 with several characters an id; random keys take an id for every one or two characters.
-Candidates are unbroken runs of key characters that hold both a letter and a digit. Their
-number of characters for each id is compared with ``MAX_RATIO``.
+Candidates are unbroken runs of key characters that hold a letter. Their number of
+characters for each id is compared with ``MAX_RATIO``. As ``=``, ``/`` and ``_`` join a key
+to names, a run that does not pass is split at them and its parts are tried alike. Of
+``SHORT`` to ``MIN_LENGTH`` characters only what has both cases (other than a first capital) or
+a credential's name before it is tried, and what has no digit needs ``SHORT`` letters.
 
 Left out are identifiers and digests that are known for what they are: UUIDs; runs of
 digits with separators; names put together from ordinary words and short numbers;
@@ -32,10 +35,12 @@ from pyspark.sql import types as T
 from sparkloom.llm.tokens import DEFAULT_VOCABULARY, coder
 
 MIN_LENGTH = 20
+SHORT = 16
 MAX_RATIO = 2.4
 MARK = "[SECRET]"
 _CHARS = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{_CHARS}])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[{_CHARS}]{{{MIN_LENGTH},}}+"
+CANDIDATE = rf"(?<![{_CHARS}])(?=[0-9+/_=-]*+[A-Za-z])[{_CHARS}]{{{SHORT},}}+"
+JOINTS = [re.compile(x) for x in ("=(?!=*$)", "/", "_")]
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 DIGESTS = {32, 40, 56, 64, 96, 128}
@@ -58,16 +63,37 @@ def _excluded(text: str, start: int, value: str, known: frozenset[str]) -> str |
     return None
 
 
+def _tried(text: str, start: int, value: str) -> bool:
+    """Whether the ratio may decide on a run or part."""
+    letters = sum(map(str.isalpha, value))
+    if not letters or len(value) < SHORT or (letters < SHORT and not any(map(str.isdigit, value))):
+        return False
+    mixed = value[1:].lower() != value[1:] and value.upper() != value
+    return len(value) >= MIN_LENGTH or mixed or bool(NAMED.search(text[max(0, start - 40) : start]))
+
+
+def _within(text: str, start: int, end: int, path: str, max_ratio: float, known: frozenset[str]) -> Iterator[tuple[int, int, float]]:
+    """The run itself if it is a secret, else those of its parts that are."""
+    value = text[start:end]
+    if len(value) < SHORT:
+        return
+    why = _excluded(text, start, value, known)
+    if why is None and _tried(text, start, value):
+        ratio = len(value) / max(1, coder(path).count(value))
+        if ratio <= max_ratio:
+            yield start, end, ratio
+            return
+    if why is None or why == "name":
+        for joint in JOINTS:
+            if places := [m.start() for m in joint.finditer(value)]:
+                for a, b in zip([-1, *places], [*places, len(value)]):
+                    yield from _within(text, start + a + 1, start + b, path, max_ratio, known)
+                return
+
+
 def findings(text: str | None, path: str, max_ratio: float, known: frozenset[str] = frozenset()) -> list[tuple[int, int, float]]:
     """``(start, end, characters an id)`` of every secret in a text."""
-    out = []
-    for match in _pattern().finditer(text or ""):
-        value = match.group()
-        if _excluded(text, match.start(), value, known) is None:
-            ratio = len(value) / max(1, coder(path).count(value))
-            if ratio <= max_ratio:
-                out.append((match.start(), match.end(), ratio))
-    return out
+    return [f for match in _pattern().finditer(text or "") for f in _within(text, *match.span(), path, max_ratio, known)]
 
 
 def _pattern() -> re.Pattern:

@@ -35,6 +35,27 @@ def test_other_strings_are_not(text):
     assert s.findings(text, V, s.MAX_RATIO) == []
 
 
+LETTERS = "".join(RNG.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(32))
+PASSWORDS = ["".join(RNG.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24)) for _ in range(200)]
+
+
+@pytest.mark.parametrize("key", [LETTERS, KEYS[1][:16], LETTERS[:16]])
+def test_letters_and_shorter_keys_are_found(key):
+    assert [f[:2] for f in s.findings(f"key {key} end", V, s.MAX_RATIO)] == [(4, 4 + len(key))]
+
+
+def test_keys_joined_to_names_are_found():
+    for name in ("database_connection_password=", "https://internationalization/understanding/", "international_understanding_documentation_"):
+        for p in PASSWORDS:
+            found = s.findings(name + p, V, s.MAX_RATIO)
+            assert len(found) == 1 and found[0][1] == len(name + p) and found[0][0] <= len(name), name + p
+
+
+@pytest.mark.parametrize("text", ["Nichtschkeitauau", "getElementsByTagName", "src/main/java/com/example/RequestHandler", "======Overview======"])
+def test_words_of_letters_are_not_keys(text):
+    assert s.findings(text, V, s.MAX_RATIO) == []
+
+
 def test_known_strings_are_passed_over():
     digest = hashlib.sha256(KEYS[2].encode()).hexdigest()
     assert s.findings(KEYS[2], V, s.MAX_RATIO, frozenset([digest])) == []
