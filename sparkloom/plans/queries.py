@@ -469,8 +469,8 @@ def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
 SELECT query_id, chunk_id, round(sum(r), 9) AS rrf, round(max(vs), 9) AS vec_score, round(max(ls), 9) AS lex_score FROM u GROUP BY query_id, chunk_id"""
 )
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Two ranked lists of every query, fused."""
-    fused = hybrid.fuse(*_hits(spark, d))
+    """Two ranked lists of every query, fused whole."""
+    fused = hybrid.fuse(*_hits(spark, d), limit=None)
     return fused.select("query_id", "chunk_id", *[F.round(c, 9).alias(c) for c in ("rrf", "vec_score", "lex_score")])
 
 

@@ -152,6 +152,14 @@ def test_hybrid_on_a_small_corpus(spark):
         hybrid.search(chunks, chunks, q, e, 1001)
 
 
+def test_rank_fusion_keeps_every_document(spark, tmp_path):
+    # 2,501 documents of one odd query, as many as its SQL has rows
+    docs = spark.range(2501).selectExpr("id * 120 + 1 AS doc_id", "id + 1 AS n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["rank_fusion"](spark, str(tmp_path))
+    assert got.count() == got.select("chunk_id").distinct().count() == 2501
+
+
 def test_expansion_and_authority(spark):
     df = spark.createDataFrame([("the js api",), ("c++ rust",), ("plain",)], "text string").withColumn("query_id", F.monotonically_increasing_id())
     out = {r.query: r for r in hybrid.prepare(df).collect()}
