@@ -7,43 +7,54 @@ from sparkloom.llm import quality as q
 
 
 def brute(text, min_chars):
-    """Every place and every one before it, word by word."""
-    units, sizes = q.words(text)
-    n = len(units)
-    before = np.r_[0, np.cumsum(sizes)].astype(int)
+    """Every substring from every place, looked for everywhere else."""
+    text = q.normal(text)
+    n = len(text)
     covered, most = np.zeros(n, bool), 0
     for i in range(n):
-        best = 0
-        for j in range(i):
-            k = 0
-            while i + k < n and units[i + k] == units[j + k]:
-                k += 1
-            best = max(best, k)
-        chars = before[i + best] - before[i] - 1
-        if best and chars >= min_chars:
-            covered[i : i + best] = True
-            most = max(most, chars)
-    return (float((np.array(sizes) * covered).sum() / max(1, sum(sizes))) if n else 0.0), most
-
-
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text("ab ", max_size=60), max_size=6), st.integers(1, 12))
+        for k in range(n - i, min_chars - 1, -1):
+            if text.find(text[i : i + k]) != i or text.find(text[i : i + k], i + 1) >= 0:
+                covered[i : i + k], most = True, max(most, k)
+                break
+    return (float(covered.mean()) if n else 0.0), most
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab é\U0001f600\n", max_size=50), max_size=6), st.integers(1, 12))
 def test_matches_brute_force(texts, min_chars):
     fraction, longest = q.profile(texts, min_chars)
     for text, f, most in zip(texts, fraction, longest):
         assert (pytest.approx(f), most) == brute(text, min_chars)
+    first = q.profile(texts, min_chars, 0.4)[0]
+    assert first == pytest.approx(fraction)
+
+
+def test_colliding_hashes_change_nothing(monkeypatch):
+    texts = ["one two three four five six", "abc abc abc abd abd", "x" * 30, "no repeats"]
+    want = [x.tolist() for x in q.profile(texts, 3)]
+    monkeypatch.setattr(q, "_rolling", lambda codes, size: codes[: len(codes) - size + 1] % np.uint64(3))
+    assert [x.tolist() for x in q.profile(texts, 3)] == want
+
+
+def test_the_unit_is_the_same_at_every_length():
+    piece = "abcdefghijklmnopqrstuvwxyz012345"
+    for text, most in ((piece * 2, 32), (piece * 2 + "z", 32), (piece + " " + piece, 32), ("xyzw" * 40, 156)):
+        fraction, longest = q.profile([text])
+        assert longest[0] == most and fraction[0] == pytest.approx(brute(text, q.MIN_CHARS)[0]) and fraction[0] > 0.95
 
 
-def test_long_runs_count_as_characters():
-    text = "xyzw" * 40
-    assert (pytest.approx(q.profile([text], 4)[0][0]), q.profile([text], 4)[1][0]) == brute(text, 4)
-    assert q.profile([text], 4)[0][0] == pytest.approx(157 / 161)
+def test_a_text_written_twice_is_covered_whole(spark):
+    passage = " ".join(f"w{i}" for i in range(150))[:639]
+    assert [x[0] for x in q.profile([f"{passage} {passage}"])] == [pytest.approx(1, abs=0.001), 639]
+    df = spark.createDataFrame([(1, f"{passage} {passage}"), (2, passage)], "doc_id long, text string")
+    assert [r.doc_id for r in q.repetition_filter(df).collect()] == [2]
 
 
 def test_a_line_at_head_and_foot_is_no_reason():
     line = "All rights reserved by the authors of this text."
-    fraction, longest = q.profile([f"{line}\nshort\n{line}", f"{line}\n{line}", f"{line}\n{line}\n{line}"])
-    assert fraction[0] < 0.5 and fraction[1] <= q.MAX_FRACTION < fraction[2] and set(longest[:2]) == {len(line)}
+    body = "Between them is a body of some forty letters or so."
+    fraction, longest = q.profile([f"{line}\n{body}\n{line}", f"{line}\n{line}", f"{line}\n{line}\n{line}"])
+    assert fraction[0] < q.MAX_FRACTION < min(fraction[1:]) and longest[0] == len(line)
 
 
 def test_repeats_do_not_cross_documents():
@@ -60,8 +71,9 @@ def test_filter_on_odd_rows(spark):
     assert out.columns == ["doc_id", "text", "repeat_fraction", "longest_repeat"]
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "4", "4", "None"]
     assert q.repetition_scores(df.limit(0)).count() == 0
-    long = spark.createDataFrame([(9, " ".join(map(str, range(200_000))))], "doc_id long, text string")
-    assert q.repetition_filter(long).collect()[0].repeat_fraction == 0
+    long = spark.createDataFrame([(9, " ".join(str(hash((i, "x")) % 10**12) for i in range(200_000))), (8, "word " * 200_000)], "doc_id long, text string")
+    assert [r.doc_id for r in q.repetition_filter(long).collect()] == [9]
+    assert {r.doc_id: r.longest_repeat for r in q.repetition_scores(long).collect()}[8] == 999_994
 
 
 def test_one_long_repeat_is_enough(spark):
