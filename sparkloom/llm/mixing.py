@@ -10,17 +10,24 @@ of these it takes just the tokens that are missing.
 
 Without ``weights`` a source's weight is its tokens to the power ``ALPHA``, which raises
 small sources over their share and lowers large ones. Sources missing from ``weights``
-get nothing. Budgets are rounded down to whole tokens.
+get nothing. Weights are whole numbers of 2**-60 of the largest, so a light source keeps its
+exact share. The shares are rounded to whole tokens by largest remainders (equal ones in
+the order of the sources), so the budgets' sum is the mixture's size.
 
 Defined results: a null source counts as the source ``""``. Null and empty texts have no
 tokens and are in no mixture. Rows that repeat an id are documents of their own, in the
-order of their token counts. A null id has a key like any other value. A source without
-tokens, and an empty table, give no rows.
+order of their token counts; of rows equal in both it does not matter which comes first. A
+null id has a key like any other value. A source without tokens, and an empty table, give
+no rows. A very long text is a document like any other, and the one at the cut gives only
+what is missing. Further columns, whatever their names, pass through :func:`mix_documents`
+and are not looked at by :func:`mixture`. Weights that are negative or not finite are refused.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +40,9 @@ from sparkloom.llm.tokens import DEFAULT_VOCABULARY, coder
 ALPHA = 0.7
 RANGES = 1024
 SEED = 7
+#: Up to this many sources (a key and two numbers each) are broadcast to the documents.
+BROADCAST_SOURCES = 200_000
+SALTS = 64
 
 
 def counted(df: DataFrame, path: str = DEFAULT_VOCABULARY, text_col: str = "text") -> DataFrame:
@@ -50,23 +60,50 @@ def counted(df: DataFrame, path: str = DEFAULT_VOCABULARY, text_col: str = "text
     return df.select(*[f"`{f.name}`" for f in kept], f"`{text_col}`").mapInArrow(work, schema)
 
 
-def budgets(totals: DataFrame, weights: Mapping[str, float] | None, tokens: int | None, alpha: float = ALPHA) -> DataFrame:
-    """``(source, total, budget)`` from ``(source, total)``, a row for each source.
+def repeated(df: DataFrame, times: str, name: str) -> DataFrame:
+    """Every row ``times`` times, numbered from 0 in ``name``; no array is longer than the root of it or 4,096."""
+    size = F.greatest(F.lit(4096), F.ceil(F.sqrt(F.col(times).cast("double"))).cast("long"))
+    first = df.where(F.col(times) > 0).withColumn("_size", size)
+    first = first.withColumn("_part", F.explode(F.expr(f"sequence(0L, ({times} - 1) div _size)")))
+    last = F.expr(f"sequence(_part * _size, least((_part + 1) * _size, {times}) - 1)")
+    return first.withColumn(name, F.explode(last)).drop("_size", "_part")
 
-    Weights are taken in thousandths, so sums and budgets are whole numbers in any order.
-    """
+
+def _whole_weights(weights: Mapping[str, float]) -> list[tuple[str, int]]:
+    """Weights as whole numbers in proportion, the largest 2**60."""
+    if any(not math.isfinite(w) or w < 0 for w in weights.values()):
+        raise ValueError("weights must be finite and not negative")
+    most = max([Fraction(w) for w in weights.values()], default=Fraction(0))
+    return [(source, max(1, round(Fraction(w) / most * 2**60))) for source, w in weights.items() if w > 0]
+
+
+def budgets(totals: DataFrame, weights: Mapping[str, float] | None, tokens: int | None, alpha: float = ALPHA) -> DataFrame:
+    """``(source, total, budget)`` from ``(source, total)``, a row for each source."""
+    held = totals.where("total > 0")
     if weights is None:
-        w = F.round(F.pow(F.col("total").cast("double"), F.lit(alpha)) * 1000)
+        w = F.greatest(F.lit(1.0), F.round(F.pow(F.col("total").cast("double"), F.lit(alpha)) * 2.0**20))
+        weighted = held.withColumn("w", w.cast("decimal(20,0)"))
     else:
-        w = F.lit(0)
-        for source, weight in weights.items():
-            w = F.when(F.col("source") == source, F.lit(round(weight * 1000))).otherwise(w)
-    weighted = totals.where("total > 0").withColumn("w", w.cast("decimal(17,0)"))
+        given = held.sparkSession.createDataFrame([(s, w) for s, w in _whole_weights(weights)], "source string, w long")
+        # as many rows as the caller's mapping has
+        weighted = held.join(F.broadcast(given), "source", "left").withColumn("w", F.coalesce("w", F.lit(0)).cast("decimal(20,0)"))
     # one row, whatever the input
-    whole = weighted.agg(F.sum("total").alias("tokens"), F.sum("w").cast("decimal(20,0)").alias("weights"))
-    wanted = (F.col("tokens") if tokens is None else F.lit(tokens)).cast("decimal(20,0)")
-    shared = weighted.crossJoin(F.broadcast(whole)).withColumn("share", wanted * F.col("w"))
-    return shared.select("source", "total", F.coalesce(F.expr("share div nullif(weights, 0)"), F.lit(0)).cast("long").alias("budget"))
+    whole = weighted.agg(F.sum("total").alias("tokens"), F.sum("w").cast("decimal(28,0)").alias("weights"))
+    wanted = (F.col("tokens") if tokens is None else F.lit(tokens)).cast("decimal(17,0)")
+    shared = weighted.crossJoin(F.broadcast(whole)).withColumn("wanted", wanted).withColumn("share", wanted * F.col("w"))
+    floored = shared.where("weights > 0").select(
+        "source", "total", "w", "wanted", F.expr("cast(share div weights as long)").alias("floor"), F.expr("share % weights").alias("rest"),
+        F.floor(F.expr("cast(share % weights as double) / cast(weights as double)") * 1023).cast("int").alias("span"),
+    )
+    # the tokens that rounding down left over go to the largest remainders: first by ranges of these
+    spans = floored.groupBy("span").agg(F.count("*").alias("n"), F.sum("floor").alias("floors"), F.max("wanted").alias("wanted"))
+    ahead = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = spans.select("span", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"), (F.col("wanted") - F.sum("floors").over(every)).alias("left"))
+    inside = Window.partitionBy("span").orderBy(F.desc("rest"), "source")
+    placed = floored.withColumn("at", F.row_number().over(inside)).join(F.broadcast(left), "span")  # at most 1,024 rows
+    more = F.when((F.col("rest") > 0) & (F.col("ahead") + F.col("at") <= F.col("left")), 1).otherwise(0)
+    return placed.select("source", "total", (F.col("floor") + more).alias("budget"))
 
 
 def _placed(df, weights, tokens, path, seed, ranges, alpha, source_col, id_col, text_col) -> DataFrame:
@@ -111,8 +148,7 @@ def mixture(
     ``start_token`` is the document's place in its source's order.
     """
     taken = _placed(df, weights, tokens, path, seed, ranges, alpha, source_col, id_col, text_col).where("whole > 0 or last > 0")
-    epoch = F.explode(F.expr("sequence(0L, whole - if(last > 0, 0L, 1L))"))
-    epochs = taken.select("source", epoch.alias("epoch"), "start_token", "doc_id", "n_tokens", "whole", "last")
+    epochs = repeated(taken.withColumn("times", F.col("whole") + F.expr("if(last > 0, 1L, 0L)")), "times", "epoch")
     return epochs.select("source", "epoch", "start_token", "doc_id", "n_tokens", F.expr("if(epoch < whole, n_tokens, last)").alias("take_tokens"))
 
 
@@ -142,6 +178,11 @@ def mix_documents(
     id_ = F.col(f"_doc.`{id_col}`")
     own = F.struct(F.xxhash64(F.lit(seed), id_).alias("key"), id_.alias("id"))
     times = F.col("_whole") + F.when(own <= F.col("_edge"), 1).otherwise(0)
-    held = df.where(F.length(text_col) > 0).select(_source(source_col).alias("_source"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"))
-    mixed = held.join(cuts, "_source").select("_doc", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_"))
-    return mixed.select("_doc.*")
+    doc = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")
+    held = df.where(F.length(f"`{text_col}`") > 0).select(_source(source_col).alias("_source"), doc)
+    if cuts.count() <= BROADCAST_SOURCES:
+        joined = held.join(F.broadcast(cuts), "_source")
+    else:  # a hot source's documents meet one of many copies of its row
+        salted = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = held.withColumn("_salt", F.pmod(F.xxhash64(id_), F.lit(SALTS)).cast("int")).join(salted, ["_source", "_salt"])
+    return repeated(joined.select("_doc", times.cast("long").alias("_times")), "_times", "_at").select("_doc.*")

@@ -3,18 +3,23 @@
 Every document starts as a partial partition with its size in one window and nothing in
 the others. The two partial partitions with the widest spread are merged again and
 again, the largest window of the one with the smallest of the other, so imbalances
-cancel; the last one left is the result. It starts with as many windows as the tokens
-need at least. If a window comes out over capacity, the count rises by one and the
-differencing starts afresh.
+cancel; the last one left is the result. It starts with as many windows as the tokens and
+the large items need at least. Whenever a window comes out over capacity, the count rises
+and the differencing starts afresh; the rise doubles each time, and the counts between the
+last that failed and the first that fits are searched by halves.
 
 Documents of more than a window are cut first: full windows are windows of their own,
-and the remainder goes to the differencing. Documents are spread by a hash of the id over
-groups of about ``WINDOWS`` windows, each solved alone, so work and memory of a task do
-not grow with the corpus and a hot source is spread like any other.
+and the remainder goes to the differencing. Documents are spread by a hash over groups of
+about ``WINDOWS`` windows and at most about ``ITEMS`` documents, each solved alone, so
+work and memory of a task do not grow with the corpus and a hot source is spread like any
+other. Rows with the same id and size are counted first and numbered; the number is part
+of the hash, so a hundred thousand copies of a row, or rows with null ids, spread as well.
 
 Defined results: null and empty texts have no tokens and are in no window. Rows that
 repeat an id are documents of their own, as is each row with a null id. Equal sizes are
-taken in the order of their ids, pieces and sizes. An empty table gives no windows.
+taken in the order of their ids, pieces and sizes. A very long text makes as many full
+windows as it fills. Ids may be of any type that can be put in order. Further columns,
+whatever their names, are not looked at. An empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -29,11 +34,12 @@ from pyspark.sql import functions as F
 
 from sparkloom import store
 from sparkloom.llm.groups import runs, whole_groups
-from sparkloom.llm.mixing import counted
+from sparkloom.llm.mixing import counted, repeated
 from sparkloom.llm.tokens import DEFAULT_VOCABULARY
 
 CAPACITY = 4096
 WINDOWS = 32
+ITEMS = 4096
 
 
 def _merge(a: list, b: list, k: int) -> list:
@@ -76,16 +82,35 @@ def differencing(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
     return [(total, _leaves(tree, [])) for total, tree in heap[0][2]] if heap else []
 
 
+def least_windows(sizes: list[int], capacity: int) -> int:
+    """Windows needed at least: for the sum, and as j items of over capacity / (j + 1) fill one."""
+    falling = -np.sort(-np.asarray(sizes, np.int64))
+    least = max(1, -(-int(falling.sum()) // capacity))
+    j = 1
+    while j < len(falling) and capacity // (j + 1) > 0:
+        large = int(np.searchsorted(-falling, -(capacity // (j + 1)), side="left"))
+        least = max(least, -(-large // j))
+        if large == len(falling):
+            break
+        j += 1
+    return least
+
+
 def windows(sizes: list[int], capacity: int) -> list[tuple[int, list[int]]]:
-    """The first differencing, from the fewest windows up, that stays within the capacity."""
+    """A differencing within the capacity, of as few windows as the search finds."""
     if not sizes:
         return []
-    k = max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes), 1)
-    while True:
-        found = differencing(sizes, k)
-        if found[0][0] <= capacity:
-            return found
-        k += 1
+    failed, k, step = 0, least_windows(sizes, capacity), 1
+    while (found := differencing(sizes, k))[0][0] > capacity:
+        failed, k, step = k, min(k + step, len(sizes)), step * 2
+    while failed and k - failed > 1:
+        middle = (failed + k) // 2
+        tried = differencing(sizes, middle)
+        if tried[0][0] <= capacity:
+            found, k = tried, middle
+        else:
+            failed = middle
+    return found
 
 
 def pack(
@@ -93,6 +118,7 @@ def pack(
     capacity: int = CAPACITY,
     path: str = DEFAULT_VOCABULARY,
     group_windows: int = WINDOWS,
+    group_items: int = ITEMS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -101,11 +127,13 @@ def pack(
     ``start_token`` is the piece's place in its document. ``window_tokens`` is what its
     window holds in all, at most ``capacity``.
     """
-    plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sized = store.written(counted(plain, path).where("n_tokens > 0"), "sized")
-    total = sized.agg(F.sum("n_tokens")).first()[0] or 0
-    groups = max(1, -(-total // (capacity * group_windows)))
-    grouped = sized.withColumn("group", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(groups)))
+    plain = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    counts = counted(plain, path).where("n_tokens > 0").groupBy("doc_id", "n_tokens").agg(F.count("*").alias("copies"))
+    sized = store.written(counts, "sized")
+    total, items = sized.agg(F.sum(F.col("n_tokens") * F.col("copies")), F.sum("copies")).first()
+    groups = max(1, -(-(total or 0) // (capacity * group_windows)), -(-(items or 0) // group_items))
+    each = repeated(sized, "copies", "copy")
+    grouped = each.select("doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id", "n_tokens", "copy"), F.lit(groups)).alias("group"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "group"):
@@ -120,7 +148,8 @@ def pack(
                     names=["window_id", "doc_id", "piece", "start_token", "n_tokens", "window_tokens"],
                 )
 
-    schema = "window_id long, doc_id long, piece long, start_token long, n_tokens long, window_tokens long"
+    kind = df.schema[id_col].dataType.simpleString()
+    schema = f"window_id long, doc_id {kind}, piece long, start_token long, n_tokens long, window_tokens long"
     return grouped.repartition("group").sortWithinPartitions("group", "doc_id", "n_tokens").mapInArrow(solve, schema)
 
 

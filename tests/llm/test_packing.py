@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sparkloom.llm import packing as p
+from sparkloom.llm.mixing import repeated
 from sparkloom.llm.tokens import coder
 
 
@@ -51,6 +52,44 @@ def test_windows_stay_within_capacity(sizes):
     assert len(found) <= max(least * 2, least + 2)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=8))
+def test_no_fewer_windows_than_needed(sizes):
+    def fewest(left, loads):
+        if not left:
+            return len(loads)
+        rest = [fewest(left[1:], [*loads[:i], x + left[0], *loads[i + 1 :]]) for i, x in enumerate(loads) if x + left[0] <= 50]
+        return min([*rest, fewest(left[1:], [*loads, left[0]])])
+
+    assert p.least_windows(sizes, 50) <= fewest(sizes, []) <= len(p.windows(sizes, 50)) <= len(sizes)
+
+
+def test_repeated_rows_cost_no_more_than_others(spark):
+    assert len(p.windows([1500] * 4000, 4096)) == 2000
+    df = spark.createDataFrame([(1, "some few words")], "doc_id long, text string")
+    many = df.unionByName(df.selectExpr("cast(null as long) as doc_id", "text")).crossJoin(spark.range(20_000)).drop("id")
+    n = coder().count("some few words")
+    out = p.pack(many, capacity=256).cache()
+    load = out.groupBy("window_id", "window_tokens").sum("n_tokens").collect()
+    assert sum(r[2] for r in load) == 40_000 * n and all(r[1] == r[2] <= 256 for r in load)
+    assert len(load) <= 1.1 * (40_000 // (256 // n))
+    assert {(r.doc_id, r["count"]) for r in out.groupBy("doc_id").count().collect()} == {(1, 20_000), (None, 20_000)}
+
+
+def test_ids_of_other_types_and_clashing_names(spark):
+    rows = [(str(i), "some words " * (i + 1), 1, "g", 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, copies int, group string, n_tokens int")
+    assert sorted({r.doc_id for r in p.pack(df, capacity=64).collect()}) == sorted(r[0] for r in rows)
+
+
+def test_repeated_numbers_every_copy(spark):
+    df = spark.createDataFrame([("a", 3), ("b", 0), ("c", 10_000), ("d", 1), ("e", -2)], "x string, n long")
+    got = {}
+    for r in repeated(df, "n", "at").collect():
+        got.setdefault(r.x, []).append(r.at)
+    assert {k: sorted(v) for k, v in got.items()} == {"a": [0, 1, 2], "c": list(range(10_000)), "d": [0]}
+
+
 def test_windows_are_near_equal():
     sizes = np.random.default_rng(0).integers(10, 900, 400).tolist()
     totals = [t for t, _ in p.windows(sizes, 4096)]
