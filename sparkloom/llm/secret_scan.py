@@ -16,8 +16,11 @@ string in ``known``, a set of SHA-256 digests of strings to pass over.
 
 The scan for candidates runs in the JVM, so only texts that hold one reach Python.
 
-Defined results: null and empty texts have no findings. Repeated rows have findings each.
-In :func:`redact` a text without findings stays as it is, null included; ``n_chars``,
+Defined results: null and empty texts have no findings, and an empty table has none. Repeated
+rows have findings each, and rows with a null id too, under that id. A very long text is
+scanned whole, in time in proportion to it; a name counts however much white space or name
+lies between it and the value. Further columns, whatever their names, are not looked at by
+:func:`scan`. In :func:`redact` a text without findings stays as it is, null included; ``n_chars``,
 where there is such a column, follows the new text. Other columns pass through.
 """
 
@@ -45,10 +48,32 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 DIGESTS = {32, 40, 56, 64, 96, 128}
 INTEGRITY = re.compile(r"(md5|sha(1|224|256|384|512))[-=]", re.I)
-NAMED = re.compile(r"(api|auth|access|secret|private|token|passw(or)?d|pwd|credential|bearer|key)[\w-]*[\"']?\s*(=|:|=>|\s)\s*[\"']?$", re.I)
+CREDENTIAL = re.compile("api|auth|access|secret|private|token|passw(or)?d|pwd|credential|bearer|key", re.I)
 NAME = re.compile(r"([A-Za-z]+|[0-9]{1,4})([-_/=+]([A-Za-z]+|[0-9]{1,8}))+")
 
 
+def _back(text: str, at: int, inside) -> int:
+    """Where the run of characters that ends at a place begins."""
+    while at and inside(text[at - 1]):
+        at -= 1
+    return at
+
+
+def _named(text: str, start: int) -> bool:
+    """Whether a credential's name, then ``=``, ``:``, ``=>`` or white space, stands before a place; quotes may be around."""
+    at = start - 1 if start and text[start - 1] in "\"'" else start
+    value, at = at, _back(text, at, str.isspace)
+    for sign in ("=>", "=", ":"):
+        if text.endswith(sign, 0, at):
+            at = _back(text, at - len(sign), str.isspace)
+            break
+    else:
+        if at == value:
+            return False
+    at -= at > 0 and text[at - 1] in "\"'"
+    return bool(CREDENTIAL.search(text, _back(text, at, lambda c: c.isalnum() or c in "_-"), at))
+
+
 def _excluded(text: str, start: int, value: str, known: frozenset[str]) -> str | None:
     """Why a candidate is no secret, if it is of a known kind."""
     if UUID.fullmatch(value):
@@ -56,7 +81,7 @@ def _excluded(text: str, start: int, value: str, known: frozenset[str]) -> str |
     if known and hashlib.sha256(value.encode()).hexdigest() in known:
         return "known"
     digest = (HEX.fullmatch(value) and len(value) in DIGESTS) or INTEGRITY.match(value)
-    if digest and not NAMED.search(text[max(0, start - 40) : start]):
+    if digest and not _named(text, start):
         return "digest"
     if NAME.fullmatch(value) and max(map(len, re.findall("[A-Za-z]+", value))) >= 3:
         return "name"
@@ -69,7 +94,7 @@ def _tried(text: str, start: int, value: str) -> bool:
     if not letters or len(value) < SHORT or (letters < SHORT and not any(map(str.isdigit, value))):
         return False
     mixed = value[1:].lower() != value[1:] and value.upper() != value
-    return len(value) >= MIN_LENGTH or mixed or bool(NAMED.search(text[max(0, start - 40) : start]))
+    return len(value) >= MIN_LENGTH or mixed or _named(text, start)
 
 
 def _within(text: str, start: int, end: int, path: str, max_ratio: float, known: frozenset[str]) -> Iterator[tuple[int, int, float]]:

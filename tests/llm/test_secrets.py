@@ -56,6 +56,13 @@ def test_words_of_letters_are_not_keys(text):
     assert s.findings(text, V, s.MAX_RATIO) == []
 
 
+def test_the_name_before_a_value_may_be_far_and_long():
+    for between in (' = "', ":\n", "' => '", " " * 300, " " * 90 + "=" + "\n" * 90, "_of_the_" + "very_" * 100 + "old_server="):
+        assert len(s.findings(f"the token{between}{HEX} end", V, s.MAX_RATIO)) == 1, between
+    for between in (" is ", "; ", " = = ", ""):
+        assert s.findings(f"the token{between}\n.{HEX} end", V, s.MAX_RATIO) == [], between
+
+
 def test_known_strings_are_passed_over():
     digest = hashlib.sha256(KEYS[2].encode()).hexdigest()
     assert s.findings(KEYS[2], V, s.MAX_RATIO, frozenset([digest])) == []
