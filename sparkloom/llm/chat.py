@@ -13,10 +13,16 @@ until the turns come back identical. An escape puts ``\\\\`` between the two cha
 ``<|`` (and after a ``<`` that is followed by backslashes and then ``|``, so that escaping can be undone
 exactly); the parser takes one away again. ``escaped`` counts turns that needed it.
 
-Defined results: turns are in the order of ``turn``, nulls first, then of role and text. Null
-text is written as ``<|null|>`` in place of content and comes back as null, an empty one as nothing; a null
-role is an empty role. Turns without an id of the conversation form one conversation
-with a null id. Repeated rows are turns of their own. Other columns are not looked at.
+A conversation is cut into parts of ``TURNS`` turn numbers, each a text of its own that
+parses back, so that one with millions of turns is not gathered in one task; turns are
+numbered from 0, and ordinary conversations have just part 0.
+
+Defined results: turns are in the order of ``turn``, nulls first (with the turns of part 0),
+then of role and text. Null text is written as ``<|null|>`` in place of content and comes back
+as null, an empty one as nothing; a null role is an empty role. Nothing says which of the
+turns without an id of the conversation belong together: each is a conversation of its own
+with a null id. Repeated rows are turns of their own. A very long text is rendered whole. An
+empty table gives no rows. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, END, NULL = "<|", "|>", "<|end|>", "<|null|>"
+TURNS = 4096
 _ESCAPE = re.compile(r"<(\\*)\|")
 _UNESCAPE = re.compile(r"<\\(\\*)\|")
 Turn = tuple[str, str | None]
@@ -92,25 +99,28 @@ def render(turns: list[Turn]) -> tuple[str, int]:
             escaped[i] = True
 
 
-def chat_texts(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``(conv_id, n_turns, escaped, text)``, a row for each conversation."""
-    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.col(text_col).alias("text"))
-    grouped = df.groupBy(F.col(id_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    turns = grouped.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
+def chat_texts(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", turns_at_once: int = TURNS) -> DataFrame:
+    """``(conv_id, part, n_turns, escaped, text)``, a row for each part of a conversation."""
+    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.col(text_col).alias("text")).alias("t")
+    part = F.coalesce(F.floor(F.col(turn_col) / turns_at_once), F.lit(0)).cast("long").alias("part")
+    each = df.select(F.col(id_col).alias("conv_id"), part, turn)
+    grouped = each.where("conv_id is not null").groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = each.where("conv_id is null").select("conv_id", F.lit(0).cast("long").alias("part"), F.array("t").alias("turns"))
+    turns = grouped.unionByName(alone).select("conv_id", "part", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             out = [(len(roles), *render(list(zip(roles, texts)))) for roles, texts in pairs]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[:2],
                     pa.array([n for n, _, _ in out], pa.int32()),
                     pa.array([e for _, _, e in out], pa.int32()),
                     pa.array([t for _, t, _ in out], pa.string()),
                 ],
-                names=["conv_id", "n_turns", "escaped", "text"],
+                names=["conv_id", "part", "n_turns", "escaped", "text"],
             )
 
-    kind = grouped.schema["conv_id"].dataType.simpleString()
-    return turns.mapInArrow(work, f"conv_id {kind}, n_turns int, escaped int, text string")
+    kind = turns.schema["conv_id"].dataType.simpleString()
+    return turns.mapInArrow(work, f"conv_id {kind}, part long, n_turns int, escaped int, text string")
