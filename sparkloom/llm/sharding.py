@@ -15,7 +15,9 @@ group by a coarser key, such as the file or the host.
 
 Defined results: rows with a null key form one group, ahead of all others. A null size
 counts as 0. Rows that repeat a key are of one group. With fewer groups than shards,
-some shards are left out. An empty table gives no rows. Other columns are not looked at.
+some shards are left out. A group larger than all others together is a shard of its own, and
+sizes may be as large as a 64-bit sum allows. An empty table gives no rows. Other columns are
+not looked at. A key column called ``size``, ``shard`` or ``shard_size`` is called ``key`` in the result.
 """
 
 from __future__ import annotations
@@ -102,6 +104,7 @@ def shard_cuts(sizes: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def shard(df: DataFrame, key_col: str, size: Column, shards: int = SHARDS) -> DataFrame:
     """``(key, size, shard, shard_size)`` of every group; ``key`` has the name of its column."""
+    key_name = "key" if key_col in ("size", "shard", "shard_size") else key_col
     grouped = df.groupBy(F.col(key_col).alias("key")).agg(F.sum(F.coalesce(size, F.lit(0)).cast("long")).alias("size"))
     sizes = store.written(grouped, "sizes")
     cuts = shard_cuts(sizes, shards).orderBy("shard").collect()
@@ -113,12 +116,12 @@ def shard(df: DataFrame, key_col: str, size: Column, shards: int = SHARDS) -> Da
         for batch in batches:
             at = np.array([0 if k is None else bisect_right(firsts, k) for k in batch.column(0).to_pylist()], np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(at), pa.array(totals[at])], names=[key_col, "size", "shard", "shard_size"]
+                [*batch.columns, pa.array(at), pa.array(totals[at])], names=[key_name, "size", "shard", "shard_size"]
             )
 
     schema = T.StructType(
         [
-            T.StructField(key_col, sizes.schema["key"].dataType),
+            T.StructField(key_name, sizes.schema["key"].dataType),
             T.StructField("size", T.LongType()),
             T.StructField("shard", T.IntegerType()),
             T.StructField("shard_size", T.LongType()),

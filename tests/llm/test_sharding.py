@@ -52,3 +52,9 @@ def test_text_keys(spark):
     df = spark.createDataFrame([(f"k{i:03d}", "a" * i) for i in range(50)], "k string, t string")
     out = s.shard(df, "k", F.octet_length("t"), 4).collect()
     assert max(r.shard_size for r in out) == s.minimax_cuts(np.arange(50), 4)[0]
+
+
+def test_key_columns_that_clash(spark):
+    df = spark.createDataFrame([(i, i) for i in range(20)], "size long, shard long")
+    out = s.shard(df, "size", F.col("shard"), 3)
+    assert out.columns == ["key", "size", "shard", "shard_size"] and {r.key: r.size for r in out.collect()} == {i: i for i in range(20)}
