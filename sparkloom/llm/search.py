@@ -1,19 +1,23 @@
-"""Exact BM25 top-k for many queries, with block-max pruning over forward indexes.
-
-Documents are cut into blocks of up to ``BLOCK`` that follow one another in the table. A
-block's forward index has, for each of its documents, the query words it holds and how
-often; words that no query has are left out of the index, not out of the documents' lengths. The
-index is written once. Corpus statistics (documents, their mean length, documents for each
-word) are exact sums over it.
-
-With them each block gets the largest score that a word can have in it. Their sum over a
-query's words bounds what any document of the block can score. For every query, a task
-orders its blocks by that bound and scores them through the forward index until the next
-bound falls below the k-th best score so far. A first pass scores just the best block of each task;
-the k-th best score over all tasks is where every task starts in the second.
+"""Exact BM25 top-k for many queries, with block-max pruning over a stored forward index.
+
+Documents are cut into blocks of up to ``BLOCK`` that follow one another in the table. The
+index has a row for each block: every word of its documents, in how many of them it is, the
+largest count and the smallest document length that go with it, and the forward index, which
+tells for each document the words it holds and how often. It depends on the documents alone:
+:func:`build_index` reads the texts and is written once, :func:`search` answers any number of
+batches of queries from it and reads no text. Corpus statistics (documents, their mean
+length, documents for each word) are exact sums over the index.
+
+A word's score grows with its count and falls with the document's length, so the stored
+extremes bound what it can score in a block. The sum of the bounds of a query's words bounds
+every document of the block. For every query, a task orders its blocks, ``BLOCKS_AT_ONCE`` at
+a time, by that sum and scores them through the forward index until the next bound falls below
+the k-th best score so far; blocks that no query reaches are never decoded. A first pass scores
+just the best block of each task; the k-th best score over all tasks is where every task
+starts in the second.
 
 ``QUERIES`` queries are searched together; their words are what the tasks are sent. More
-queries make more rounds.
+queries make more rounds over the index.
 
 The score is rounded to six places before ranking; equal scores rank by document id.
 A word counts once in a query. Words are lower-case runs of letters, digits and underscores.
@@ -21,7 +25,9 @@ A word counts once in a query. Words are lower-case runs of letters, digits and
 Defined results: null, empty and wordless texts are no documents, nor are rows with a null
 id; they count in no statistic. Rows that repeat an id are documents of their own, and so
 may appear more than once. Queries without words, with a null id or with no matching
-document have no rows; queries that repeat an id and text are one. Other columns are ignored.
+document have no rows; queries that repeat an id and text are one. An empty table of documents
+or queries gives no rows. A very long text is one document of its block. Document ids are
+whole numbers; other types are refused. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +41,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom import store
 from sparkloom.llm.tokens import ragged, slices
@@ -47,7 +54,10 @@ QUERIES = 2048
 DIGITS = 6
 SLACK = 1e-5
 
-_INDEX = "n_docs long, n_words long, ids binary, lengths binary, ends binary, terms binary, counts binary"
+_INDEX = (
+    "n_docs long, n_words long, words array<string>, word_docs binary, most_count binary, least_length binary, "
+    "ids binary, lengths binary, ends binary, terms binary, counts binary"
+)
 
 
 def query_words(texts: list[str | None]) -> list[list[str]]:
@@ -58,88 +68,125 @@ def query_words(texts: list[str | None]) -> list[list[str]]:
     return [sorted(set(flat[end - size : end])) for end, size in zip(ends.tolist(), sizes.tolist())]
 
 
-def _blocks(ids: np.ndarray, texts: pa.Array, vocabulary: pa.Array) -> Iterator[tuple]:
+def _blocks(ids: np.ndarray, texts: pa.Array) -> Iterator[tuple]:
     codes, offsets, distinct = stretches(texts)
     words, sizes = lower_words(distinct)
-    known = pc.fill_null(pc.index_in(words, value_set=vocabulary), -1).to_numpy().astype(np.int64)
+    coded = words.dictionary_encode()
+    known, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     starts = np.cumsum(sizes) - sizes
     per = np.r_[0, np.cumsum(sizes[codes])][offsets]
     lengths = np.diff(per)
-    flat = known[ragged(starts[codes], sizes[codes])]
-    key = np.repeat(np.arange(len(ids)), lengths) * len(vocabulary) + flat
-    key, tf = np.unique(key[flat >= 0], return_counts=True)
+    n = max(1, len(words))
+    key, tf = np.unique(np.repeat(np.arange(len(ids)), lengths) * n + known[ragged(starts[codes], sizes[codes])], return_counts=True)
     rows = np.flatnonzero(lengths)
     for at in range(0, len(rows), BLOCK):
         own = rows[at : at + BLOCK]
-        low, high = np.searchsorted(key, [own[0] * len(vocabulary), (own[-1] + 1) * len(vocabulary)])
-        doc, term = np.divmod(key[low:high], len(vocabulary))
-        held, first = np.unique(doc, return_index=True)
-        ends = np.r_[first[1:], len(doc)] if len(doc) else first
-        parts = (ids[held], lengths[held].astype(np.int32), ends.astype(np.int32), term.astype(np.int32), tf[low:high].astype(np.int32))
-        yield len(own), int(lengths[own].sum()), *[p.tobytes() for p in parts]
-
-
-def forward_index(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str) -> DataFrame:
-    """A row for each block: its documents and words in all, and the postings of the vocabulary."""
+        low, high = np.searchsorted(key, [own[0] * n, (own[-1] + 1) * n])
+        doc, term = np.divmod(key[low:high], n)
+        held, count = np.unique(term), tf[low:high]
+        local = np.searchsorted(held, term)
+        most, least = np.zeros(len(held), np.int64), np.full(len(held), np.iinfo(np.int64).max)
+        np.maximum.at(most, local, count)
+        np.minimum.at(least, local, lengths[doc])
+        ends = np.searchsorted(doc, own, side="right")
+        numbers = [np.bincount(local), most, least, None, lengths[own], ends, local, count]
+        packed = [ids[own].tobytes() if x is None else x.astype(np.int32).tobytes() for x in numbers]
+        yield len(own), int(lengths[own].sum()), words.take(pa.array(held)), *packed
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each block of documents; write it, and search it as often as wanted."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be of a type of whole numbers")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = pa.array(vocabulary, pa.string())
         for batch in batches:
             ids, at = batch.column(0).to_numpy(), 0
             for part in slices(batch.column(1)):
-                rows = list(_blocks(ids[at : at + len(part)], part, terms))
+                rows = list(_blocks(ids[at : at + len(part)], part))
                 at += len(part)
                 if rows:
-                    kinds = [pa.int64()] * 2 + [pa.binary()] * 5
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=["n_docs", "n_words", "ids", "lengths", "ends", "terms", "counts"]
-                    )
+                    n_docs, n_words, words, *packed = zip(*rows)
+                    offsets = pa.array(np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int32))
+                    lists = pa.ListArray.from_arrays(offsets, pa.concat_arrays(words))
+                    columns = [pa.array(n_docs, pa.int64()), pa.array(n_words, pa.int64()), lists, *[pa.array(c, pa.binary()) for c in packed]]
+                    yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _INDEX.split(", ")])
 
     plain = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return plain.mapInArrow(work, _INDEX)
 
 
-def _df(index: DataFrame, size: int) -> np.ndarray:
+def _known(words: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For a batch of blocks: the number of each word in the vocabulary or -1, and where each block's begin."""
+    offsets = words.offsets.to_numpy().astype(np.int64)
+    held = pc.fill_null(pc.index_in(words.flatten(), value_set=vocabulary), -1).to_numpy().astype(np.int64)
+    return held, offsets - offsets[0]
+
+
+def _df(index: DataFrame, vocabulary: list[str]) -> np.ndarray:
     """In how many documents each word of the vocabulary is."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total, asked = np.zeros(len(vocabulary), np.int64), pa.array(vocabulary, pa.string())
         for batch in batches:
-            for terms in batch.column(0):
-                total += np.bincount(np.frombuffer(terms.as_buffer(), np.int32), minlength=size)
+            held, _ = _known(batch.column(0), asked)
+            docs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32)
+            total += np.bincount(held[held >= 0], docs[held >= 0], minlength=len(vocabulary)).astype(np.int64)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["term", "df"])
 
-    found = index.select("terms").mapInArrow(work, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    out = np.zeros(size, np.int64)
+    found = index.select("words", "word_docs").mapInArrow(work, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    out = np.zeros(len(vocabulary), np.int64)
     out[found.column("term").to_numpy()] = found.column("df").to_numpy()
     return out
 
 
+class Block:
+    """One block for one batch of queries: bounds at once, the forward index when it is asked for."""
+
+    def __init__(self, row: dict, terms: np.ndarray, searcher: Searcher):
+        self.row, self.terms, self.searcher, self._held = row, terms, searcher, None
+        self.found = np.flatnonzero(terms >= 0)
+        most, least = (np.frombuffer(row[c], np.int32)[self.found] for c in ("most_count", "least_length"))
+        self.bound = searcher.impact(terms[self.found], most, least)
+
+    @property
+    def forward(self) -> tuple:
+        """Ids of the documents with any of the batch's words, where their postings begin, and these."""
+        if self._held is None:
+            ids, lengths, ends, local, counts = (
+                np.frombuffer(self.row[c], t) for c, t in (("ids", np.int64), ("lengths", np.int32), ("ends", np.int32), ("terms", np.int32), ("counts", np.int32))
+            )
+            doc = np.repeat(np.arange(len(ids)), np.diff(np.r_[0, ends]))
+            term = self.terms[local]
+            keep = np.flatnonzero(term >= 0)
+            doc, term = doc[keep], term[keep]
+            held, starts = np.unique(doc, return_index=True)
+            self._held = ids[held], starts, term, self.searcher.impact(term, counts[keep], lengths[doc])
+            self.row = {}
+        return self._held
+
+
 class Searcher:
     """Scores blocks against a set of queries; what a task is sent."""
 
-    def __init__(self, queries: list[np.ndarray], idf: np.ndarray, mean: float, k: int, floor: np.ndarray):
-        self.queries, self.idf, self.mean, self.k, self.floor = queries, idf, mean, k, floor
+    def __init__(self, queries: list[np.ndarray], vocabulary: list[str], idf: np.ndarray, mean: float, k: int, floor: np.ndarray):
+        self.queries, self.vocabulary, self.idf, self.mean, self.k, self.floor = queries, vocabulary, idf, mean, k, floor
+        self.blocks = self.decoded = 0
 
-    def _load(self, row: dict) -> tuple:
-        ids, lengths, ends, terms, counts = (
-            np.frombuffer(row[n], t) for n, t in (("ids", np.int64), ("lengths", np.int32), ("ends", np.int32), ("terms", np.int32), ("counts", np.int32))
-        )
-        starts = np.r_[0, ends[:-1]].astype(np.int64)
-        norm = np.repeat(K1 * (1 - B + B * lengths / self.mean), ends - starts)
-        impact = self.idf[terms] * (counts * (K1 + 1) / (counts + norm))
-        return ids, starts, terms, impact
+    def impact(self, terms: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """What words score by their counts in documents of some lengths."""
+        return self.idf[terms] * (counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths / self.mean)))
 
     def search(self, batches: Iterator[pa.RecordBatch], first_only: bool) -> Iterator[pa.RecordBatch]:
         """Each query's best documents of the blocks; with ``first_only``, of the best block alone."""
         best = [(np.empty(0), np.empty(0, np.int64)) for _ in self.queries]
-        floor = self.floor.copy()
-        chunk: list[tuple] = []
+        floor, asked = self.floor.copy(), pa.array(self.vocabulary, pa.string())
+        chunk: list[Block] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["ids"]:
-                    chunk.append(self._load(row))
+            held, offsets = _known(batch.column("words"), asked)
+            for row, a, b in zip(batch.drop_columns(["words"]).to_pylist(), offsets, offsets[1:]):
+                chunk.append(Block(row, held[a:b], self))
                 if len(chunk) == BLOCKS_AT_ONCE:
                     self._chunk(chunk, best, floor, first_only)
                     chunk = []
@@ -150,14 +197,15 @@ class Searcher:
             q, i, s = (np.concatenate(x) for x in zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["q", "doc_id", "score"])
 
-    def _chunk(self, chunk: list[tuple], best: list, floor: np.ndarray, first_only: bool) -> None:
+    def _chunk(self, chunk: list[Block], best: list, floor: np.ndarray, first_only: bool) -> None:
         size = len(self.idf)
         lens = np.array([len(q) for q in self.queries])
         heads, flat = np.cumsum(lens) - lens, np.concatenate(self.queries)
         bounds = np.empty((len(chunk), len(self.queries)))
-        for b, (_, _, terms, impact) in enumerate(chunk):
-            most = np.zeros(size)
-            np.maximum.at(most, terms, impact)
+        most = np.zeros(size)
+        for b, block in enumerate(chunk):
+            most[:] = 0
+            most[block.terms[block.found]] = block.bound
             bounds[b] = np.add.reduceat(most[flat], heads)
         has = np.zeros(size)
         for q, terms in enumerate(self.queries):
@@ -168,7 +216,7 @@ class Searcher:
                 bound = bounds[b, q]
                 if bound <= 0 or bound + SLACK < floor[q]:
                     break
-                ids, starts, held, impact = chunk[b]
+                ids, starts, held, impact = chunk[b].forward
                 scores = np.round(np.add.reduceat(impact * has[held], starts), DIGITS)
                 take = np.flatnonzero((scores > 0) & (scores >= floor[q]))
                 if not len(take):
@@ -178,21 +226,19 @@ class Searcher:
                 best[q] = s[top], i[top]
                 if len(top) == self.k:
                     floor[q] = max(floor[q], s[top[-1]])
+        self.blocks += len(chunk)
+        self.decoded += sum(block._held is not None for block in chunk)
 
 
-def _round(docs: DataFrame, keys: list, words: list[list[str]], k: int, id_col: str, text_col: str, query_id: str, kind: str) -> DataFrame:
-    spark = docs.sparkSession
+def _round(index: DataFrame, n: int, mean: float, keys: list, words: list[list[str]], k: int, query_id: str, kind: str) -> DataFrame:
     vocabulary = sorted({w for own in words for w in own})
     place = {w: i for i, w in enumerate(vocabulary)}
     queries = [np.array([place[w] for w in own], np.int64) for own in words]
-    index = store.written(forward_index(docs, vocabulary, id_col, text_col), "forward")
-    n, total = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
-    df = _df(index, len(vocabulary))
-    idf = np.log(1 + ((n or 0) - df + 0.5) / (df + 0.5))
-    mean = (total or 0) / max(1, n or 0)
+    df = _df(index, vocabulary)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
 
     def run(floor: np.ndarray, first_only: bool) -> DataFrame:
-        own = Searcher(queries, idf, mean, k, floor)
+        own = Searcher(queries, vocabulary, idf, mean, k, floor)
         return index.mapInArrow(lambda batches: own.search(batches, first_only), "q long, doc_id long, score double")
 
     order = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
@@ -201,36 +247,43 @@ def _round(docs: DataFrame, keys: list, words: list[list[str]], k: int, id_col:
     for q, score in ranked.select("q", "score").collect():  # a row for each query, at most
         floor[q] = score
     found = run(floor, False).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    names = spark.createDataFrame(list(enumerate(keys)), f"q long, {query_id} {kind}")
+    names = index.sparkSession.createDataFrame(list(enumerate(keys)), f"q long, {query_id} {kind}")
     return found.join(F.broadcast(names), "q").select(query_id, "rank", "doc_id", "score")  # at most QUERIES names
 
 
-def top_k(
-    docs: DataFrame,
-    queries: DataFrame,
-    k: int = K,
-    at_once: int = QUERIES,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    query_id: str = "item_id",
-    query_text: str = "text",
-) -> DataFrame:
-    """``(query id, rank, doc_id, score)``: the k best documents of every query."""
+def search(index: DataFrame, queries: DataFrame, k: int = K, at_once: int = QUERIES, query_id: str = "item_id", query_text: str = "text") -> DataFrame:
+    """``(query id, rank, doc_id, score)``: the k best documents of every query, from a written index."""
     kind = queries.schema[query_id].dataType.simpleString()
     asked = queries.select(F.col(query_id).alias("id"), F.col(query_text).alias("text")).where("id is not null and text is not null").distinct()
-    rounds = max(1, math.ceil(asked.count() / at_once))
+    n, total = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
+    rounds = max(1, math.ceil(asked.count() / at_once)) if n else 0
     found = []
     for r in range(rounds):
         rows = asked.where(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == r).orderBy("id", "text").collect()
         words = query_words([row.text for row in rows])
         some = [i for i, own in enumerate(words) if own]
         if some:
-            found.append(_round(docs, [rows[i].id for i in some], [words[i] for i in some], k, id_col, text_col, query_id, kind))
+            found.append(_round(index, n, total / n, [rows[i].id for i in some], [words[i] for i in some], k, query_id, kind))
     if not found:
-        return docs.sparkSession.createDataFrame([], f"{query_id} {kind}, rank int, doc_id long, score double")
+        return index.sparkSession.createDataFrame([], f"{query_id} {kind}, rank int, doc_id long, score double")
     return reduce(DataFrame.unionByName, found)
 
 
+def top_k(
+    docs: DataFrame,
+    queries: DataFrame,
+    k: int = K,
+    at_once: int = QUERIES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    query_id: str = "item_id",
+    query_text: str = "text",
+) -> DataFrame:
+    """:func:`search` over an index of ``docs``, built and written for the purpose."""
+    index = store.written(build_index(docs, id_col, text_col), "forward")
+    return search(index, queries, k, at_once, query_id, query_text)
+
+
 ORACLE_SQL = f"""
 WITH words AS (
   SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM documents WHERE doc_id IS NOT NULL
