@@ -3,6 +3,7 @@
 import random
 import sys
 from collections import Counter, defaultdict
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -64,10 +65,14 @@ def brute(spark, rows):
         if n := coder().count(text):
             by[source or ""].append((keys[i], i, n))
     total = {s: sum(x[2] for x in v) for s, v in by.items()}
-    w = {s: round(t**mixing.ALPHA * 1000) for s, t in total.items()}
+    w = {s: round(t**mixing.ALPHA * 2**20) for s, t in total.items()}
+    exact = {s: Fraction(sum(total.values()) * w[s], sum(w.values())) for s in by}
+    budgets = {s: int(x) for s, x in exact.items()}
+    for s in sorted(by, key=lambda s: (budgets[s] - exact[s], s))[: sum(total.values()) - sum(budgets.values())]:
+        budgets[s] += 1
     mixed = Counter()
     for s, docs in by.items():
-        left = sum(total.values()) * w[s] // sum(w.values())
+        left = budgets[s]
         docs.sort()
         at = 0
         while left > 0:
