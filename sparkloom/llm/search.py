@@ -50,12 +50,13 @@ from sparkloom.llm.words import lower_words, stretches
 K, K1, B = 10, 1.2, 0.75
 BLOCK = 128
 BLOCKS_AT_ONCE = 512
+BYTES_AT_ONCE = 4 << 20
 QUERIES = 2048
 DIGITS = 6
 SLACK = 1e-5
 
 _INDEX = (
-    "n_docs long, n_words long, words array<string>, word_docs binary, most_count binary, least_length binary, "
+    "n_docs long, n_words long, words string, word_docs binary, most_count binary, least_length binary, "
     "ids binary, lengths binary, ends binary, terms binary, counts binary"
 )
 
@@ -91,7 +92,7 @@ def _blocks(ids: np.ndarray, texts: pa.Array) -> Iterator[tuple]:
         ends = np.searchsorted(doc, own, side="right")
         numbers = [np.bincount(local), most, least, None, lengths[own], ends, local, count]
         packed = [ids[own].tobytes() if x is None else x.astype(np.int32).tobytes() for x in numbers]
-        yield len(own), int(lengths[own].sum()), words.take(pa.array(held)), *packed
+        yield len(own), int(lengths[own].sum()), " ".join(words.take(pa.array(held)).to_pylist()), *packed
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,14 +103,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = batch.column(0).to_numpy(), 0
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), BYTES_AT_ONCE):
                 rows = list(_blocks(ids[at : at + len(part)], part))
                 at += len(part)
                 if rows:
-                    n_docs, n_words, words, *packed = zip(*rows)
-                    offsets = pa.array(np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int32))
-                    lists = pa.ListArray.from_arrays(offsets, pa.concat_arrays(words))
-                    columns = [pa.array(n_docs, pa.int64()), pa.array(n_words, pa.int64()), lists, *[pa.array(c, pa.binary()) for c in packed]]
+                    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * 8])]
                     yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _INDEX.split(", ")])
 
     plain = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -118,8 +116,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _known(words: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """For a batch of blocks: the number of each word in the vocabulary or -1, and where each block's begin."""
-    offsets = words.offsets.to_numpy().astype(np.int64)
-    held = pc.fill_null(pc.index_in(words.flatten(), value_set=vocabulary), -1).to_numpy().astype(np.int64)
+    parts = pc.split_pattern(words, " ")
+    offsets = parts.offsets.to_numpy().astype(np.int64)
+    held = pc.fill_null(pc.index_in(parts.flatten(), value_set=vocabulary), -1).to_numpy().astype(np.int64)
     return held, offsets - offsets[0]
 
 
