@@ -49,7 +49,7 @@ from sparkloom.llm.words import lower_words, stretches
 
 K, K1, B = 10, 1.2, 0.75
 BLOCK = 128
-BLOCKS_AT_ONCE = 512
+BLOCKS_AT_ONCE = 128
 BYTES_AT_ONCE = 4 << 20
 QUERIES = 2048
 DIGITS = 6
@@ -182,10 +182,11 @@ class Searcher:
         best = [(np.empty(0), np.empty(0, np.int64)) for _ in self.queries]
         floor, asked = self.floor.copy(), pa.array(self.vocabulary, pa.string())
         chunk: list[Block] = []
-        for batch in batches:
+        for batch in (whole.slice(at, BLOCKS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, BLOCKS_AT_ONCE)):
             held, offsets = _known(batch.column("words"), asked)
+            held = held.astype(np.int32)
             for row, a, b in zip(batch.drop_columns(["words"]).to_pylist(), offsets, offsets[1:]):
-                chunk.append(Block(row, held[a:b], self))
+                chunk.append(Block(row, held[a:b].copy(), self))
                 if len(chunk) == BLOCKS_AT_ONCE:
                     self._chunk(chunk, best, floor, first_only)
                     chunk = []
