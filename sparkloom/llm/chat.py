@@ -9,7 +9,7 @@ The parser is deterministic: it reads a header, then everything to the next end
 Content or roles that hold a mark of the grammar would be read differently from how they were
 written, so every rendered text is parsed again and compared with its turns. Where they
 differ, the offending turns are escaped one level further, and the check is repeated
-until the turns come back identical. An escape puts ``\\\\`` between the two characters of
+until the turns come back identical. An escape puts ``\\`` between the two characters of
 ``<|`` (and after a ``<`` that is followed by backslashes and then ``|``, so that escaping can be undone
 exactly); the parser takes one away again. ``escaped`` counts turns that needed it.
 
@@ -124,3 +124,15 @@ def chat_texts(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", r
 
     kind = turns.schema["conv_id"].dataType.simpleString()
     return turns.mapInArrow(work, f"conv_id {kind}, part long, n_turns int, escaped int, text string")
+
+
+#: Turns whose content or role does not come back as written are escaped; there are no nulls in ``conv_id``.
+ORACLE_SQL = rf"""
+WITH t AS (SELECT conv_id, coalesce(turn // {TURNS}, 0) AS part, turn, coalesce(role, '') AS r, text AS c FROM conversations),
+j AS (SELECT *, coalesce(contains(c, '<|end|>' || chr(10)) OR c = '<|null|>' OR regexp_matches(c, '<\\+[|]'), false)
+  OR contains(r, '|>' || chr(10)) OR regexp_matches(r, '%25|%7C|%0A') AS e FROM t),
+w AS (SELECT *, '<|' || CASE WHEN e THEN replace(replace(replace(r, '%', '%25'), '|', '%7C'), chr(10), '%0A') ELSE r END || '|>' || chr(10)
+  || CASE WHEN c IS NULL THEN '<|null|>' WHEN e THEN regexp_replace(c, '<(\\*)[|]', '<\\\1|', 'g') ELSE c END || '<|end|>' || chr(10) AS x FROM j)
+SELECT conv_id, CAST(part AS BIGINT) AS part, CAST(count(*) AS INTEGER) AS n_turns, CAST(count(*) FILTER (e) AS INTEGER) AS escaped,
+  string_agg(x, '' ORDER BY turn NULLS FIRST, r, c NULLS FIRST) AS text FROM w GROUP BY conv_id, part
+"""

@@ -270,3 +270,21 @@ def repetition_filter(
     each row: no shuffle, and memory follows the longest document.
     """
     return _scored(df, text_col, min_chars, (max_fraction, max_longest))
+
+
+def drop_repetitive(
+    df: DataFrame,
+    text_col: str = "text",
+    min_chars: int = MIN_CHARS,
+    max_fraction: float = MAX_FRACTION,
+    max_longest: int = MAX_LONGEST,
+) -> DataFrame:
+    """The rows of :func:`repetition_filter` as they came, without figures."""
+    at = df.columns.index(text_col)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fraction, longest = profile(batch.column(at).to_pylist(), min_chars, max_fraction)
+            yield batch.filter(pa.array((fraction <= max_fraction) & (longest <= max_longest)))
+
+    return df.mapInArrow(judge, df.schema)

@@ -70,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_repetition, op2_packing, op3_simhash, op4_sharding, op5_mixing, op6_chat, op7_bitpack, op8_secrets, op9_top_k, op10_language)
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_top_k": search.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_sharding": sharding.ORACLE_SQL, "op6_chat": chat.ORACLE_SQL, "op9_top_k": search.ORACLE_SQL}

@@ -128,3 +128,28 @@ def shard(df: DataFrame, key_col: str, size: Column, shards: int = SHARDS) -> Da
         ]
     )
     return sizes.mapInArrow(place, schema)
+
+
+#: The same search by bisection, a step for each shard of each trial; for tables of some thousand groups.
+ORACLE_SQL = f"""
+WITH RECURSIVE g AS (SELECT conv_id, CAST(sum(coalesce(octet_length(encode(text)), 0)) AS BIGINT) AS size FROM conversations GROUP BY conv_id),
+o AS (SELECT conv_id, size, CAST(sum(size) OVER (ORDER BY conv_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM g),
+l AS (SELECT list(upto ORDER BY upto) AS ends, CAST(max(upto) AS BIGINT) AS total, max(size) AS large FROM o),
+search AS (
+  SELECT ends, total, greatest(large, (total + {SHARDS} - 1) // {SHARDS}) AS lo, greatest(large, (total + {SHARDS} - 1) // {SHARDS}) + large AS hi, CAST(0 AS BIGINT) AS pos, 0 AS used FROM l
+  UNION ALL
+  SELECT ends, total,
+    CASE WHEN pos < total AND used = {SHARDS} THEN (lo + hi) // 2 + 1 ELSE lo END,
+    CASE WHEN pos = total THEN (lo + hi) // 2 ELSE hi END,
+    CASE WHEN pos = total OR used = {SHARDS} THEN 0 ELSE list_max(list_filter(ends, lambda e: e <= pos + (lo + hi) // 2)) END,
+    CASE WHEN pos = total OR used = {SHARDS} THEN 0 ELSE used + 1 END
+  FROM search WHERE lo < hi
+),
+best AS (SELECT ends, total, lo AS capacity FROM search WHERE lo >= hi LIMIT 1),
+cuts AS (
+  SELECT ends, total, capacity, CAST(0 AS BIGINT) AS start, list_max(list_filter(ends, lambda e: e <= capacity)) AS stop, 0 AS shard FROM best
+  UNION ALL
+  SELECT ends, total, capacity, stop, list_max(list_filter(ends, lambda e: e <= stop + capacity)), shard + 1 FROM cuts WHERE stop < total
+)
+SELECT conv_id, size, shard, stop - start AS shard_size FROM o JOIN cuts ON upto > start AND upto <= stop
+"""
