@@ -120,7 +120,8 @@ def canonical(raw: str | None) -> str | None:
 @F.pandas_udf(T.StringType())
 def canonicalize(urls: pd.Series) -> pd.Series:
     """:func:`canonical` of a column; null where rejected."""
-    return pd.Series([canonical(url) for url in urls], dtype=object)
+    known = {url: canonical(url) for url in urls.unique()}
+    return pd.Series([known[url] for url in urls], dtype=object)
 
 
 def _c(x: Column | str) -> Column:
@@ -160,9 +161,19 @@ def suffixes(host_: Column | str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
+def listed(words) -> Column:
+    """A constant array of words without spaces."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
+def table(pairs) -> Column:
+    """A constant map of texts without line ends or tabs."""
+    return F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in pairs)), F.lit("\n"), F.lit("\t"))
+
+
 def _under(host_: Column | str, rules) -> Column:
     plain = sorted({r.removeprefix("www.") for r in rules})
-    return F.coalesce(F.arrays_overlap(suffixes(host_), F.array(*[F.lit(r) for r in plain])), F.lit(False))
+    return F.coalesce(F.arrays_overlap(suffixes(host_), listed(plain)), F.lit(False))
 
 
 def host_allowed(host_: Column | str) -> Column:
@@ -190,10 +201,18 @@ def rejected_by(url: Column | str) -> Column:
 
     Rule names follow the order of the checks, so a reason is stable.
     """
-    u, h, p = _c(url), host(url), path(url)
-    low = F.lower(p)
+    h, p = host(url), path(url)
+    own = F.struct(
+        _c(url).alias("u"), h.alias("h"), p.alias("p"), F.lower(p).alias("low"), _params(url).alias("params")
+    )
+    # the URL is taken apart once; the rules look at the parts
+    return F.transform(F.array(own), _first_broken)[0]
+
+
+def _first_broken(x: Column) -> Column:
+    u, h, p, low = x["u"], x["h"], x["p"], x["low"]
     starts = lambda *x: low.rlike("^(" + "|".join(map(re.escape, x)) + ")")
-    within = lambda rule: host_matches(h, rule)
+    within = lambda rule: h.rlike(rf"^(www\.)?(.*\.)?{re.escape(rule)}$")
     title = F.regexp_extract(low, "^/wiki/(.*)", 1)
     wiki = h == "en.wikipedia.org"
     rules = [
@@ -244,7 +263,7 @@ def rejected_by(url: Column | str) -> Column:
         ("gcc_archive", (h == "gcc.gnu.org") & starts("/bugzilla/", "/legacy-ml/")),
         (
             "params",
-            F.exists(_params(u), lambda k: k.isin(paths.BLOCKED_PARAMS) | k.startswith("utm_")),
+            F.exists(x["params"], lambda k: k.isin(paths.BLOCKED_PARAMS) | k.startswith("utm_")),
         ),
     ]
     out = F.lit(None).cast("string")
@@ -267,10 +286,9 @@ def priority(url: Column | str, depth: Column | str) -> Column:
 def page_cap(host_: Column | str) -> Column:
     """How many pages of a host are kept."""
     h = _c(host_)
-    exact = F.create_map(*[F.lit(x) for pair in sorted(hosts.CAPS.items()) for x in pair])
-    below = F.create_map(*[F.lit(x) for pair in sorted(hosts.SUFFIX_CAPS.items()) for x in pair])
+    exact, below = table(sorted(hosts.CAPS.items())), table(sorted(hosts.SUFFIX_CAPS.items()))
     nearest = F.element_at(F.filter(F.transform(suffixes(h), lambda s: below[s]), lambda c: c.isNotNull()), 1)
-    return F.coalesce(exact[h], F.when(_under(h, hosts.SUFFIX_CAPS), nearest), F.lit(hosts.DEFAULT_CAP))
+    return F.coalesce(exact[h].cast("int"), F.when(_under(h, hosts.SUFFIX_CAPS), nearest.cast("int")), F.lit(hosts.DEFAULT_CAP))
 
 
 def rate_limit_ms(host_: Column | str, default_ms: int = 100) -> Column:
@@ -292,7 +310,7 @@ def chunk_limit(host_: Column | str) -> Column:
 def harvest_worthy(url: Column | str) -> Column:
     """Whether an aggregator's link is of a host that is harvested; rules with ``www.`` match as written."""
     h = host(url)
-    known = F.arrays_overlap(suffixes(h), F.array(*[F.lit(r) for r in sorted(hosts.HARVESTED)]))
+    known = F.arrays_overlap(suffixes(h), listed(sorted(hosts.HARVESTED)))
     return F.coalesce(_c(url).rlike("^(?i)https?://") & known & ~looks_binary(path(url), paths.HARVEST_BINARY), F.lit(False))
 
 
