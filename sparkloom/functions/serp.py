@@ -112,3 +112,44 @@ def read_tokens(key: str, now_ms: int):
 def click_id(query: Column, position: Column, url: Column, now_ms: Column) -> Column:
     """The key under which a click is kept."""
     return F.sha2(F.concat(query, position.cast("string"), url, now_ms.cast("string")), 256)
+
+
+def result_rows(results, panels, key: str, now_ms: int):
+    """Results as a page shows them: ``(query_id, rank, query, breadcrumbs, display_url, title, href, snippet, score)``.
+
+    ``results`` has ``query_id, query, rank, source_url, heading_chain, text, score``. All texts are
+    escaped. ``panels`` (``query_id, title, summary, description, image_url``) or None adds the
+    article's columns, prefixed with ``panel_``.
+    """
+    url = F.col("source_url")
+    token = click_token(key, F.col("query"), F.col("rank"), url, F.lit(now_ms))
+    rows = results.select(
+        "query_id",
+        "rank",
+        escape_html(F.col("query")).alias("query"),
+        F.transform("heading_chain", escape_html).alias("breadcrumbs"),
+        escape_html(urls.display_url(url)).alias("display_url"),
+        escape_html(result_title(F.col("heading_chain"), url)).alias("title"),
+        F.concat(F.lit("/act?d="), token).alias("href"),
+        highlighted("text", "query").alias("snippet"),
+        F.format_string("%.4f", F.col("score").cast("double")).alias("score"),
+    )
+    if panels is None:
+        return rows
+    shown = panels.select("query_id", *[escape_html(F.col(c)).alias(f"panel_{c}") for c in ("title", "summary", "description", "image_url")])
+    return rows.join(shown, "query_id", "left")
+
+
+def result_page(query: str, rows: list, took_ms: int = 0) -> str:
+    """The page of one query, from its :func:`result_rows` in order; without any, a note."""
+    parts = [f"<!doctype html><meta charset=utf-8><title>{_escape(query)}</title>", f'<form action="/search"><input name="q" value="{_escape(query)}"></form>']
+    parts.append(f"<p>{len(rows)} results ({took_ms / 1000:.2f} seconds)</p><ol>")
+    for row in rows:
+        crumbs = " &rsaquo; ".join(row["breadcrumbs"] or [])
+        parts.append(f'<li><small>{crumbs}</small> <cite>{row["display_url"]}</cite> <a href="{row["href"]}">{row["title"]}</a> <p>{row["snippet"]}</p> {row["score"]}</li>')
+    parts.append("</ol>" if rows else "</ol><p>Nothing found; other or fewer words may help.</p>")
+    first = rows[0].asDict() if rows else {}
+    if first.get("panel_title") is not None:
+        image = f'<img src="{first["panel_image_url"]}">' if first["panel_image_url"] else ""
+        parts.append(f'<aside><h2>{first["panel_title"]}</h2><i>{first["panel_description"] or ""}</i><p>{first["panel_summary"]}</p>{image}</aside>')
+    return "".join(parts)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import urls
+from sparkloom.rules.seeds import SEEDS
 
 HN_POINTS, LOBSTERS_SCORE = 100, 10
 _LINE = "title string, summary string, extract string, image_url string, description string"
@@ -24,12 +25,13 @@ def wiki_records(lines: DataFrame, line_col: str = "value", order_col: str | Non
     parsed = lines.select(at.alias("at"), F.from_json(line_col, _LINE).alias("j"))
     title, summary = F.trim("j.title"), F.trim(F.coalesce("j.summary", "j.extract", F.lit("")))
     rows = parsed.select("at", title.alias("title"), summary.alias("summary"), "j.image_url", "j.description").where("title <> '' and summary <> ''")
-    keyed = rows.select(_ascii_lower(F.col("title")).alias("wiki_key"), "at", F.struct("title", "summary", "image_url", "description").alias("r"))
+    keyed = rows.select(wiki_key("title").alias("wiki_key"), "at", F.struct("title", "summary", "image_url", "description").alias("r"))
     return keyed.groupBy("wiki_key").agg(F.max_by("r", "at").alias("r")).select("wiki_key", "r.*")
 
 
-def _ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def wiki_key(title: Column | str) -> Column:
+    """An article's key: its title with ASCII letters in lower case."""
+    return F.translate(title, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def read_wiki(spark: SparkSession, path: str) -> DataFrame:
@@ -73,13 +75,23 @@ def enqueue(links: DataFrame, seen: DataFrame, queued: DataFrame) -> DataFrame:
     return known.join(seen.select("url"), "url", "left_anti").join(queued.select("url"), "url", "left_anti")
 
 
-def seeds(spark: SparkSession, hosts) -> DataFrame:
-    """The admitted start page of every host, at depth 0."""
-    df = spark.createDataFrame([(f"https://{h}/",) for h in sorted(hosts)], "url string").select(urls.canonicalize("url").alias("url"))
+def seeds(spark: SparkSession, urls_=None) -> DataFrame:
+    """The admitted ones of some URLs, by default the engine's own list, as frontier rows at depth 0."""
+    listed = [f"https://{place}" for place in SEEDS] if urls_ is None else list(urls_)
+    df = spark.createDataFrame([(u,) for u in listed], "url string").select(urls.canonicalize("url").alias("url")).distinct()
     fit = df.where(F.col("url").isNotNull() & urls.rejected_by("url").isNull())
     return fit.select("url", urls.host("url").alias("host"), F.lit(0).alias("depth"), urls.priority("url", F.lit(0)).alias("priority"))
 
 
+def enqueue_counts(links: DataFrame, seen: DataFrame, queued: DataFrame) -> DataFrame:
+    """``(enqueued, skipped)`` of :func:`enqueue`: links that enter the queue, and all others."""
+    known = links.select(urls.canonicalize("url").alias("url")).where("url is not null").groupBy("url").agg(F.count("*").alias("n"))
+    old = seen.select("url").unionByName(queued.select("url")).distinct().withColumn("old", F.lit(1))
+    told = known.join(old, "url", "left").agg(F.count("*").alias("all"), F.sum("n").alias("rows"), F.count("old").alias("old"))
+    enqueued = F.coalesce(F.col("all") - F.col("old"), F.lit(0))
+    return told.select(enqueued.alias("enqueued"), (F.coalesce("rows", F.lit(0)) - enqueued).alias("skipped"))
+
+
 def label_rows(statements: DataFrame, page_col: str, order_col: str, text_col: str) -> DataFrame:
     """Each statement with up to three before it on its page: what is labelled by hand."""
     order = Window.partitionBy(page_col).orderBy(order_col)
