@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom import store
-from sparkloom.functions import html, serp, text, urls
-from sparkloom.operators import hybrid, lexical, pages, tables, vectors
+from sparkloom.functions import html, register, serp, text, urls
+from sparkloom.operators import crawl, embedders, hybrid, lexical, pages, tables, vectors
 from sparkloom.rules import hosts as host_rules
 from sparkloom.rules import paths as path_rules
 from sparkloom.rules import search as search_rules
-from sparkloom.sources import records
+from sparkloom.rules import seeds as seed_rules
+from sparkloom.sources import records, sinks
 from sparkloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +50,10 @@ def _array(items) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
 
 
+def _place(spark: SparkSession) -> str:
+    return f"{store.shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+
+
 # URLs
 
 _CANON = """
@@ -94,36 +100,56 @@ _LOC = "|".join(path_rules.LOCALES)
 _RE = lambda items: "|".join(x.replace("+", "[+]").replace(".", "[.]") for x in items)
 
 
-@_query(
-    f"""WITH {_REHOSTED}, bare AS (SELECT *, regexp_replace(host, '^www[.]', '') AS h FROM parts)
-SELECT page_id, CASE
+_WIKI = "regexp_extract(lower(path), '^/wiki/(.*)', 1)"
+_REASON = f"""CASE
+  WHEN NOT EXISTS (SELECT 1 FROM (SELECT unnest({_array([h.removeprefix("www.") for h in _HOSTS])}) AS r) WHERE h = r OR ends_with(h, '.' || r)) THEN 'host'
   WHEN regexp_matches(lower(path), '[.]({_RE(path_rules.BINARY)})$') THEN 'binary'
   WHEN (h LIKE '%stackoverflow.com' AND host <> 'stackoverflow.com') OR (h = 'usenix.org' AND host <> 'www.usenix.org')
-    OR (h = 'kernel.org' AND host <> 'www.kernel.org') THEN 'subhost'
+    OR (regexp_matches(h, '(^|[.])(research[.]google|arxiv[.]org)$') AND host NOT IN ('research.google', 'arxiv.org'))
+    OR (regexp_matches(h, '(^|[.])kernel[.]org$') AND host NOT IN ('www.kernel.org', 'docs.kernel.org'))
+    OR (regexp_matches(h, '(^|[.])haskell[.]org$') AND NOT regexp_matches(host, '^(downloads|wiki|www)[.]haskell[.]org$')) THEN 'subhost'
   WHEN regexp_matches(lower(path), '/doxygen/|(-members|_source)[.]html$') THEN 'generated'
   WHEN regexp_matches(lower(path), '^/({_LOC})(/|-|$)') THEN 'localized'
   WHEN regexp_matches(lower(canonical), '{_RE(path_rules.LANGUAGE_MARKS)}') THEN 'language'
   WHEN regexp_matches(lower(path), '(^|/)({_LOC})(/|$)') THEN 'locale'
-  WHEN host = 'en.wikipedia.org' AND path NOT LIKE '/wiki/%' THEN 'wiki_path'
+  WHEN host = 'en.wikipedia.org' AND (path NOT LIKE '/wiki/%' OR regexp_matches(path, '^/wiki/(Special|Talk):')) THEN 'wiki_path'
+  WHEN host = 'en.wikipedia.org' AND (regexp_matches({_WIKI}, '^[0-9]|:|{"|".join(path_rules.WIKI_OFF_TOPIC)}')
+    OR NOT regexp_matches({_WIKI}, '{"|".join(path_rules.WIKI_TOPICS)}')) THEN 'wiki_title'
   WHEN host = 'stackoverflow.com' AND NOT regexp_matches(path, '^/(questions|tags|q/|a/)') THEN 'stackoverflow'
   WHEN h LIKE '%cppreference.com' AND NOT regexp_matches(lower(path), '^/w/(c|cpp)/') THEN 'cppreference'
   WHEN h = 'aws.amazon.com' AND lower(path) NOT LIKE '/blogs/%' THEN 'aws'
   WHEN h = 'databricks.com' AND lower(path) NOT LIKE '/blog%' THEN 'databricks'
   WHEN h = 'medium.com' AND regexp_matches(lower(path), '^/({"|".join(path_rules.MEDIUM_PAGES)})|/follow(ers|ing)$') THEN 'medium'
+  WHEN host = 'downloads.haskell.org' AND (NOT regexp_matches(lower(path), '^/~?ghc/latest/') OR contains(lower(path), '/src/') OR contains(lower(path), 'doc-index')) THEN 'ghc_docs'
   WHEN host = 'gcc.gnu.org' AND regexp_matches(lower(path), '^/(bugzilla|legacy-ml)/') THEN 'gcc_archive'
   WHEN len(list_filter(string_split(query, '&'), lambda x: string_split(x, '=')[1] IN {_listed(path_rules.BLOCKED_PARAMS)} OR x LIKE 'utm\\_%' ESCAPE '\\')) > 0 THEN 'params'
-  END AS reason FROM bare"""
-)
+  END AS reason"""
+_PRIORITY = f"""+ CASE WHEN regexp_matches(lower(path), '/({"|".join(path_rules.HIGH_SIGNAL)})/') THEN 50 ELSE 0 END
+  - CASE WHEN regexp_matches(lower(path), '/({"|".join(path_rules.LOW_SIGNAL)})') THEN 70 ELSE 0 END
+  - CASE WHEN query <> '' THEN 20 ELSE 0 END + CASE WHEN host IN {_listed(path_rules.TOP_HOSTS)} THEN 30 ELSE 0 END AS INTEGER) AS priority"""
+_BARE = "bare AS (SELECT *, regexp_replace(host, '^www[.]', '') AS h FROM parts)"
+
+
+@_query(f"WITH {_REHOSTED}, {_BARE} SELECT page_id, {_REASON} FROM bare")
 def url_admission(spark: SparkSession, d: str) -> DataFrame:
     """The first admission rule that each page breaks, were it on an admitted host."""
     return _rehosted(spark, d).select("page_id", urls.rejected_by("canonical").alias("reason"))
 
 
-@_query("SELECT page_id, 'host' AS reason FROM pages")
+_VARIANT = f"""CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^https?://([^/?#]+)', 1) WHEN 1 THEN r WHEN 2 THEN 'www.a.b.' || r ELSE 'not' || r END"""
+
+
+@_query(
+    f"""WITH v AS (SELECT page_id, {_VARIANT} AS host FROM (SELECT *, ({_array(_HOSTS)})[1 + page_id % {len(_HOSTS)}] AS r FROM pages)),
+b AS (SELECT *, regexp_replace(host, '^www[.]', '') AS h FROM v)
+SELECT page_id, host, EXISTS (SELECT 1 FROM (SELECT unnest({_array([h.removeprefix("www.") for h in _HOSTS])}) AS r) WHERE h = r OR ends_with(h, '.' || r)) AS allowed FROM b"""
+)
 def url_host_gate(spark: SparkSession, d: str) -> DataFrame:
-    """None of the pages' own hosts is admitted."""
-    own = urls.canonicalize(F.regexp_replace("url", "^http://", "https://"))
-    return _t(spark, d, "pages").select("page_id", own.alias("u")).select("page_id", urls.rejected_by("u").alias("reason"))
+    """Which hosts are admitted: pages' own ones, those of the rules, ones below them, and ones that only end alike."""
+    rule = F.element_at(F.array(*[F.lit(h) for h in _HOSTS]), (F.col("page_id") % len(_HOSTS) + 1).cast("int"))
+    kind = F.col("page_id") % 4
+    host = F.when(kind == 0, urls.host("url")).when(kind == 1, rule).when(kind == 2, F.concat(F.lit("www.a.b."), rule)).otherwise(F.concat(F.lit("not"), rule))
+    return _t(spark, d, "pages").select("page_id", host.alias("host")).select("page_id", "host", urls.host_allowed("host").alias("allowed"))
 
 
 @_query(
@@ -157,9 +183,9 @@ def host_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ROBOTS = r"""rules AS (
-  SELECT host, list_sort(list(DISTINCT '/' || seg)) AS disallow FROM (
-    SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+/([a-z]+)/', 1) AS seg, page_id FROM pages)
-  WHERE seg <> '' AND page_id % 3 = 0 GROUP BY host)"""
+  SELECT host, ['/' || min(seg)] AS disallow FROM (
+    SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+/([a-z]+)/', 1) AS seg FROM pages)
+  WHERE seg <> '' GROUP BY host)"""
 
 
 @_query(
@@ -167,11 +193,11 @@ _ROBOTS = r"""rules AS (
 SELECT page_id, CASE WHEN disallow IS NULL THEN true ELSE len(list_filter(disallow, lambda r: starts_with(path, r))) = 0 END AS allowed FROM p LEFT JOIN rules USING (host)"""
 )
 def robots_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Pages that their host's robots.txt (made of a third of its pages' first segments) allows."""
+    """Pages that their host's robots.txt (which forbids the first in order of its pages' first segments) allows."""
     own = _t(spark, d, "pages").select("page_id", urls.host("url").alias("host"), urls.path("url").alias("path"))
     segment = F.regexp_extract("path", "^/([a-z]+)/", 1)
-    lines = own.where((segment != "") & (F.col("page_id") % 3 == 0)).groupBy("host").agg(F.collect_set(segment).alias("s"))
-    told = lines.select("host", F.concat(F.lit("User-agent: *\n"), F.array_join(F.transform("s", lambda x: F.concat(F.lit("Disallow: /"), x)), "\n")).alias("robots"))
+    lines = own.where(segment != "").groupBy("host").agg(F.min(segment).alias("s"))
+    told = lines.select("host", F.concat(F.lit("User-agent: x\nDisallow: /\nUser-agent: *\nDisallow: /"), "s", F.lit("\nDisallow:\n")).alias("robots"))
     rules = told.select("host", urls.parse_robots("robots").alias("disallow"))
     return own.join(rules, "host", "left").select("page_id", urls.robots_allow("path", "disallow").alias("allowed"))
 
@@ -199,19 +225,40 @@ def crawl_waves(spark: SparkSession, d: str) -> DataFrame:
     return pages.waves(frontier).select("host", "depth", "priority", "turn", "start_ms")
 
 
-@_query()
+_CAP_SQL = f"CASE {_CAPS} {_BELOW} ELSE {host_rules.DEFAULT_CAP} END"
+
+
+@_query(
+    f"""WITH {_REHOSTED}, {_BARE}, judged AS (SELECT *, {_REASON} FROM bare), best AS (
+  SELECT canonical AS url, any_value(host) AS host, any_value(h) AS h, any_value(path) AS path, any_value(query) AS query, CAST(min(page_id % 8) AS INTEGER) AS depth
+  FROM judged WHERE reason IS NULL AND page_id % 8 <= 6 GROUP BY canonical),
+seen AS (SELECT canonical AS url FROM judged JOIN pages USING (page_id) WHERE pages.url LIKE 'http:%'), queued AS (SELECT canonical AS url FROM judged WHERE query <> '')
+SELECT url, host, depth, CAST(100 - 10 * depth {_PRIORITY} FROM best
+WHERE url NOT IN (SELECT url FROM seen) AND url NOT IN (SELECT url FROM queued)
+  AND CASE host WHEN 'uops.info' THEN 500 WHEN 'fly.io' THEN 10 ELSE 0 END < {_CAP_SQL}
+  AND NOT (host = 'docs.rs' AND path LIKE '/de%') AND host <> 'go.dev'"""
+)
 def frontier_admission(spark: SparkSession, d: str) -> DataFrame:
-    """Pages on admitted hosts as a frontier: a third seen, a fifth queued, robots and caps in force."""
+    """Pages on admitted hosts as a frontier: those with plain http seen, those with a query queued, robots and caps in force."""
     all_ = _rehosted(spark, d).withColumnRenamed("canonical", "url")
     robots = spark.createDataFrame([("docs.rs", ["/de"]), ("go.dev", ["/"])], "host string, disallow array<string>")
     counts = spark.createDataFrame([("uops.info", 500), ("fly.io", 10)], "host string, n long")
-    return pages.admit(all_, F.col("page_id") % 8, all_.where("page_id % 3 = 0"), all_.where("page_id % 5 = 0"), robots, counts)
+    plain = _t(spark, d, "pages").where("url like 'http:%'").select("page_id")
+    return pages.admit(all_, F.col("page_id") % 8, all_.join(plain, "page_id", "left_semi"), all_.where(urls.query("url") != ""), robots, counts)
 
 
-@_query()
+_SEED_ROWS = ", ".join(f"({i}, 'https://{u}')" for i, u in enumerate(seed_rules.SEEDS))
+
+
+@_query(
+    f"""WITH raw AS (SELECT * FROM (VALUES {_SEED_ROWS}) AS v(page_id, u)), {_CANON}, parts AS (
+  SELECT page_id, canonical, regexp_extract(canonical, '^https://([^/?#]+)', 1) AS host, regexp_extract(canonical, '^https://[^/?#]+([^?#]*)', 1) AS path, lower(regexp_extract(canonical, '[?](.*)$', 1)) AS query FROM canon),
+{_BARE}, judged AS (SELECT *, {_REASON} FROM bare)
+SELECT DISTINCT canonical AS url, host, 0 AS depth, CAST(100 {_PRIORITY} FROM judged WHERE reason IS NULL"""
+)
 def seed_frontier(spark: SparkSession, d: str) -> DataFrame:
-    """Start pages of the admitted hosts."""
-    return records.seeds(spark, host_rules.ALLOWED)
+    """The admitted ones of the engine's start pages."""
+    return records.seeds(spark)
 
 
 @_query(
@@ -305,24 +352,31 @@ _HEAD = "[lang, source, CAST(doc_id AS VARCHAR)]"
 
 
 @_query(
-    f"""SELECT doc_id, array_to_string(list_concat(({_HEAD})[2:3], [left(text, 40)]), chr(10)) AS with_headings,
-  array_to_string(list_concat([source], list_filter({_HEAD}, lambda h: h <> source), [left(text, 40)]), chr(10)) AS to_embed FROM documents"""
+    f"""SELECT doc_id, array_to_string(list_concat(({_HEAD})[2:3], [text]), chr(10)) AS with_headings,
+  array_to_string(list_concat([source], list_filter({_HEAD}, lambda h: h <> source), [text]), chr(10)) AS to_embed FROM documents"""
 )
 def heading_context(spark: SparkSession, d: str) -> DataFrame:
-    """Language, source and id as headings before each text's start."""
-    chain, start = F.array("lang", "source", F.col("doc_id").cast("string")), F.left("text", F.lit(40))
-    return _t(spark, d, "documents").select("doc_id", text.with_context(chain, start, 2).alias("with_headings"), text.with_embed_context(F.col("source"), chain, start, 3).alias("to_embed"))
+    """Language, source and id as headings before each text."""
+    chain = F.array("lang", "source", F.col("doc_id").cast("string"))
+    return _t(spark, d, "documents").select("doc_id", text.with_context(chain, F.col("text"), 2).alias("with_headings"), text.with_embed_context(F.col("source"), chain, F.col("text"), 3).alias("to_embed"))
+
+
+_SPARSE = "repeat('<i></i>', CAST(doc_id % 30 AS INTEGER) * 2)"
+_BODY = "trim(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g'))"
 
 
 @_query(
-    """SELECT doc_id, octet_length(encode(text)) > 0 AND octet_length(encode(text)) / (2.0 * length(text)) > 0.5 AND n_chars % 7 / octet_length(encode(text)) < 0.2 AS kept
-  FROM documents WHERE text IS NOT NULL"""
+    f"""WITH b AS (SELECT doc_id, {_BODY} AS t, left({_BODY}, CAST(n_chars * (doc_id % 7) // 10 AS INTEGER)) AS a FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, t, length(t) + length(a) AS n, length(a) AS l, length('<p>' || t || ' <a href="x">' || a || '</a>' || {_SPARSE} || '</p>') AS h FROM b)
+SELECT doc_id, CASE WHEN t <> '' AND l = 0 AND length(t) / h > 0.5 THEN 1 WHEN t <> '' AND l > 0 AND (n + 1) / h > 0.5 AND l / (n + 1) < 0.2 THEN 1 ELSE 0 END AS kept FROM s"""
 )
 def density_filter(spark: SparkSession, d: str) -> DataFrame:
-    """The density test on byte counts, as a plain predicate."""
-    size = F.octet_length("text")
+    """Documents as HTML blocks with a link and empty tags: is each more text than markup, and more text than link?"""
+    body = F.trim(F.regexp_replace("text", "[^a-zA-Z0-9]+", " "))
+    link = F.trim(F.expr("left(trim(regexp_replace(text, '[^a-zA-Z0-9]+', ' ')), cast(n_chars * (doc_id % 7) div 10 as int))"))
+    page = F.concat(F.lit("<html><body><p>"), body, F.lit(' <a href="x">'), link, F.lit("</a>"), F.expr("repeat('<i></i>', cast(doc_id % 30 as int) * 2)"), F.lit("</p></body></html>"))
     docs = _t(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", ((size > 0) & (size / (2.0 * F.length("text")) > html.MIN_TEXT) & (F.col("n_chars") % 7 / size < html.MAX_ANCHOR)).alias("kept"))
+    return docs.select("doc_id", F.size(html.parse_html(page)["blocks"]).alias("kept"))
 
 
 # vectors
@@ -333,18 +387,12 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    """The vectors that share their id with a benchmark passage, as queries."""
-    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return v.join(_t(spark, d, "benchmark").select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
-
-
-def _everyone(spark: SparkSession, d: str) -> DataFrame:
-    """Every vector as a query."""
-    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    """The query set: every vector whose id can be divided by 50, sought among all vectors."""
+    return _t(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 _KNN = """WITH s AS (SELECT q.vec_id AS query_id, CAST(e.vec_id AS VARCHAR) AS chunk_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings q, embeddings e WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+  FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, score FROM s)"""
 
 
@@ -354,27 +402,25 @@ def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
     return vectors.top_k(_vectors(spark, d), _asked(spark, d))
 
 
-@_query()
+@_query(f"{_KNN} SELECT * FROM r WHERE rank <= 10")
 def ann_top_k(spark: SparkSession, d: str) -> DataFrame:
-    """The ten nearest of every vector, from the probed cells and all others that may hold one of them."""
-    own = _vectors(spark, d)
-    centres = vectors.centroids(own)
-    index = store.written(vectors.assign_cells(own, centres), "ivf")
-    return vectors.ann_top_k(index, centres, _everyone(spark, d), exact=True)
+    """The ten nearest of every query, from the probed cells and all others that may hold one of them."""
+    return vectors.CellIndex.build(_vectors(spark, d)).search(_asked(spark, d), nprobe=2, exact=True)
 
 
 @_query()
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Mean recall at ten over all vectors for several numbers of probes."""
-    own, asked = _vectors(spark, d), _everyone(spark, d)
-    centres = vectors.centroids(own)
-    index = store.written(vectors.assign_cells(own, centres), "ivf")
+    """Mean recall at ten over the query set, for shares of the cells and for the number of probes that is tuned to 0.9."""
+    own, asked = _vectors(spark, d), _asked(spark, d)
+    index = vectors.CellIndex.build(own)
     truth = store.written(vectors.top_k(own, asked), "truth")
-    found = None
-    for nprobe in (1, 4, 16, 64):
-        part = vectors.recall(truth, vectors.ann_top_k(index, centres, asked, nprobe=nprobe)).agg(F.lit(nprobe).alias("nprobe"), F.round(F.avg("recall"), 6).alias("recall"))
-        found = part if found is None else found.unionByName(part)
-    return found
+    cells = len(index.centres)
+    tuned = vectors.tuned_nprobe(index, asked, truth)
+    found = []
+    for name, nprobe in (("one", 1), ("sixteenth", cells // 16), ("quarter", cells // 4), ("half", cells // 2), ("all", cells), ("tuned", tuned)):
+        share = vectors.recall(truth, index.search(asked, nprobe=max(1, nprobe))).agg(F.round(F.avg("recall"), 6).alias("recall"))
+        found.append(share.select(F.lit(name).alias("probes"), F.lit(max(1, nprobe)).alias("nprobe"), F.lit(cells).alias("cells"), "recall"))
+    return reduce(DataFrame.unionByName, found)
 
 
 @_query(
@@ -388,6 +434,19 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     return vectors.recall(own, half)
 
 
+@_query("SELECT avg(r) AS recall FROM (SELECT count(*) / 10.0::DOUBLE AS r FROM (" + _KNN + " SELECT * FROM r WHERE rank <= 20 AND rank % 2 = 0 AND rank <= 10) GROUP BY query_id)")
+def mean_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of the same over all queries."""
+    return recall_at_k(spark, d).agg(F.avg("recall").alias("recall"))
+
+
+@_query("SELECT vec_id, embedding AS vector FROM embeddings")
+def vector_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector to its bytes, as a key-value store keeps them, and back."""
+    e = _t(spark, d, "embeddings")
+    return e.select("vec_id", vectors.decode_vector(vectors.encode_vector("embedding"), DIM).alias("vector"))
+
+
 @_query(
     """SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
 )
@@ -400,9 +459,26 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def embed_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of all documents that have none yet (those without a label)."""
-    docs = _t(spark, d, "documents").select(F.col("doc_id"), "text")
-    return vectors.embed_new(docs, _t(spark, d, "labels").select("doc_id"), vectors.HashingEmbedder(DIM), "doc_id", "text")
+    """Vectors of all documents."""
+    embedder = embedders.BatchedEmbedder(embedders.checked(embedders.named("hashing", DIM), DIM))
+    return vectors.embed(_t(spark, d, "documents").select("doc_id", "text"), embedder, "doc_id", "text")
+
+
+@_query(f"SELECT doc_id, {DIM} AS numbers FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def embed_missing(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that have no vector yet, and how many numbers their new ones have."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    new = vectors.embed_new(docs, _t(spark, d, "labels").select("doc_id"), vectors.HashingEmbedder(DIM), "doc_id", "text")
+    return new.select("doc_id", F.size("vector").alias("numbers"))
+
+
+@_query(
+    """SELECT item_id, CASE WHEN trim(text) = '' THEN '' ELSE 'Represent this sentence for searching relevant passages: ' || trim(text) END AS instructed, trim(text) AS plain FROM benchmark"""
+)
+def query_instruction(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark passages as queries of a model that wants an instruction, and of one that does not."""
+    asked = _t(spark, d, "benchmark")
+    return asked.select("item_id", embedders.query_text("bge-small-en-v1.5", "text").alias("instructed"), embedders.query_text("all-minilm-l6-v2", "text").alias("plain"))
 
 
 @_query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -444,20 +520,17 @@ def lexical_top_k(spark: SparkSession, d: str) -> DataFrame:
     return lexical.search(docs, _t(spark, d, "benchmark"), boosts={"text": 1.0, "source": 4.0}, query_id="item_id")
 
 
-_LISTS = """v AS (SELECT doc_id % 40 AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id, n_chars * 1.0::DOUBLE AS score FROM documents WHERE doc_id % 3 <> 0),
+_LISTS = """v AS (SELECT doc_id % 40 AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id, n_chars * 1.0::DOUBLE AS score FROM documents),
 vr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM v),
-x AS (SELECT doc_id % 40 AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id, (doc_id * 7919 % 1009) * 1.0::DOUBLE AS score FROM documents WHERE doc_id % 2 <> 0),
+x AS (SELECT doc_id % 40 AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id, (doc_id * 7919 % 1009) * 1.0::DOUBLE AS score FROM documents),
 xr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM x)"""
 
 
 def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
     docs = _t(spark, d, "documents").select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", "n_chars")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    lists = []
-    for keep, score in (("doc_id % 3 <> 0", F.col("n_chars").cast("double")), ("doc_id % 2 <> 0", (F.col("doc_id") * 7919 % 1009).cast("double"))):
-        lists.append(docs.where(keep).select("query_id", "chunk_id", score.alias("score")).withColumn("rank", F.row_number().over(order)))
+    scores = (F.col("n_chars").cast("double"), (F.col("doc_id") * 7919 % 1009).cast("double"))
+    lists = [docs.select("query_id", "chunk_id", score.alias("score")).withColumn("rank", F.row_number().over(order)) for score in scores]
     asked = docs.select("query_id").distinct().withColumn("is_short", F.col("query_id") % 2 == 0)
     return lists[0], lists[1], asked
 
@@ -497,7 +570,63 @@ def phrase_matches(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a benchmark passage as a phrase."""
     docs = _t(spark, d, "documents").select("doc_id", text.phrase("text").alias("t"))
     asked = _t(spark, d, "benchmark").select("item_id", text.phrase("text").alias("p"))
-    return docs.join(asked, text.has_phrase(F.col("p"), F.col("t"))).select("item_id", "doc_id")
+    return lexical.containing(docs, asked, "doc_id", "t", "item_id", "p")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _tokens(x: str) -> str:
+    return f"list_filter(list_distinct(regexp_extract_all(translate(coalesce({x}, ''), '{_UPPER}', '{_LOWER}'), '[a-z0-9+]{{2,}}')), lambda w: w NOT IN {_STOP})"
+
+
+def _phrase(x: str) -> str:
+    return f"trim(regexp_replace(translate(coalesce({x}, ''), '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _share(q: str, t: str) -> str:
+    return f"CASE WHEN len({q}) > 0 THEN len(list_intersect({q}, {t})) / len({q}) ELSE 0 END"
+
+
+@_query(
+    f"""WITH q AS (SELECT item_id AS query_id, {_tokens("text")} AS tokens, {_phrase("text")} AS phrase FROM benchmark),
+m AS (SELECT query_id, list(DISTINCT word) AS more FROM (SELECT query_id, tokens, unnest(tokens) AS trigger FROM q) JOIN {_SYN} USING (trigger) WHERE NOT list_contains(tokens, word) GROUP BY query_id),
+a AS (SELECT *, len(tokens) <= 5 AS short, list_concat(tokens, coalesce(more, [])) AS wide FROM q LEFT JOIN m USING (query_id)),
+c AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS section, source, text FROM documents WHERE text IS NOT NULL AND lang <> 'de'),
+h AS (SELECT chunk_id, {_tokens("section")} AS st, {_tokens("source || ' ' || section")} AS ht, {_tokens("text")} AS bt, {_phrase("section")} AS sp, {_phrase("source || ' ' || section")} AS hp, {_phrase("text")} AS bp FROM c),
+vr AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT item_id AS query_id, CAST(e.vec_id AS VARCHAR) AS chunk_id, round(list_inner_product(CAST(o.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
+  FROM benchmark JOIN embeddings o ON o.vec_id = item_id, embeddings e)) WHERE rank <= 100),
+xr AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT doc_id % 40 AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id, n_chars * 1.0::DOUBLE AS score FROM documents)),
+u AS (SELECT query_id, chunk_id, CASE WHEN short THEN 0.6 ELSE 1.0 END::DOUBLE / (60 + rank) AS r, greatest(0, least(1, score / max(score) OVER (PARTITION BY query_id))) AS vs, 0.0::DOUBLE AS ls FROM vr JOIN a USING (query_id)
+  UNION ALL SELECT query_id, chunk_id, CASE WHEN short THEN 1.8 ELSE 1.0 END::DOUBLE / (60 + rank), 0.0::DOUBLE, greatest(0, least(1, score / max(score) OVER (PARTITION BY query_id))) FROM xr JOIN a USING (query_id)),
+f AS (SELECT query_id, chunk_id, sum(r) AS rrf, max(vs) AS vs, max(ls) AS ls FROM u GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS place FROM f),
+t AS (SELECT query_id, chunk_id, vs, ls, short, {_share("tokens", "st")} AS ti, {_share("tokens", "ht")} AS he, {_share("wide", "bt")} AS bo, phrase <> '' AND (contains(sp, phrase) OR contains(hp, phrase)) AS hph, phrase <> '' AND contains(bp, phrase) AS bph
+  FROM p JOIN h USING (chunk_id) JOIN a USING (query_id) WHERE place <= 2000),
+s AS (SELECT query_id, chunk_id, round((CASE WHEN short THEN 0.25 * vs + 0.35 * ls + 0.22 * ti + 0.12 * he + 0.06 * bo ELSE 0.35 * vs + 0.20 * ls + 0.20 * ti + 0.15 * he + 0.10 * bo END
+  + CASE WHEN hph THEN 0.25 WHEN bph THEN 0.10 ELSE 0 END) * CASE WHEN short AND ti = 0 AND he = 0 THEN 0.55 WHEN short AND ti = 0 AND he < 0.34 THEN 0.78 ELSE 1 END, 6) AS score FROM t)
+SELECT query_id, chunk_id, score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM s) WHERE score >= greatest(top * 0.15, 0.12)"""
+)
+def hybrid_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """Two lists of hits for benchmark passages, fused, reranked against headings and texts, the weak ones left out.
+
+    Texts in German are no leaves; the heading of each document is its first three words.
+    """
+    docs = _t(spark, d, "documents").where("text is not null")
+    first = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    chunks = docs.select(
+        F.col("doc_id").cast("string").alias("chunk_id"), F.lit("https://en.example.com/").alias("source_url"),
+        F.array("lang", "source", first).alias("heading_chain"), "text", (F.coalesce("lang", F.lit("")) != "de").alias("is_leaf"),
+    )
+    own = _t(spark, d, "benchmark")
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = hybrid.prepare(own, "item_id", "text")
+    vec = vectors.top_k(_vectors(spark, d), e.join(asked.select("query_id"), "query_id", "left_semi"), 100)
+    lists = _t(spark, d, "documents").select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("n_chars").cast("double").alias("score"))
+    lex = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
+    return hybrid.rerank(hybrid.fuse(vec, lex, asked), chunks, asked)[0].select("query_id", "chunk_id", "score")
 
 
 @_query()
@@ -528,6 +657,106 @@ def knowledge_panel(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.panel(wiki, wv, qv).select("query_id", "wiki_key", "score", "title")
 
 
+@_query(
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 'École ' || id) AS rank FROM s),
+h AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM r WHERE rank <= 3 AND score >= 0.35 AND id <> query_id)
+SELECT query_id, 'École ' || id AS title, score FROM h WHERE n = 1"""
+)
+def panel_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Articles with titles beyond ASCII, a vector each: for every query vector the nearest one that has a record.
+
+    The queries' own articles have vectors but no records, so the next hit is shown.
+    """
+    e = _t(spark, d, "embeddings")
+    title = F.concat(F.lit("École "), F.col("vec_id").cast("string"))
+    line = F.to_json(F.struct(title.alias("title"), F.lit("x").alias("summary")))
+    wiki = records.wiki_records(e.where("vec_id % 50 <> 0").select(line.alias("value"), "vec_id"), order_col="vec_id")
+    wv = e.select(records.wiki_key(title).alias("wiki_key"), F.col("embedding").alias("vector"))
+    return hybrid.panel(wiki, wv, _asked(spark, d)).select("query_id", "title", "score")
+
+
+# the crawl
+
+_CRAWL_HOSTS = sorted(h for h in ("docs.rs", "fly.io", "go.dev", "jvns.ca"))
+_PROSE = "A sentence of some words stands here so that the page is long enough to be kept by the gate for text."
+
+
+def _site(spark: SparkSession, d: str) -> DataFrame:
+    """The pages as sites on four admitted hosts: page n links to pages 2n and 2n + 1; every seventh is too short to keep."""
+    host = F.element_at(F.array(*[F.lit(h) for h in _CRAWL_HOSTS]), (F.col("page_id") % 4 + 1).cast("int"))
+    at = lambda n: F.concat(F.lit("https://"), F.element_at(F.array(*[F.lit(h) for h in _CRAWL_HOSTS]), (n % 4 + 1).cast("int")), F.lit("/p"), n.cast("string"))
+    n = F.col("page_id") + 1
+    body = F.when(n % 7 == 0, "short").otherwise(F.lit(" ".join([_PROSE] * 5)))
+    links = F.concat(*[F.concat(F.lit('<li>Another page of the same text is here: <a href="'), at(x), F.lit('">next</a></li>')) for x in (n * 2, n * 2 + 1)])
+    page = F.concat(F.lit("<html><head><title>T"), n.cast("string"), F.lit("</title></head><body><h1>H</h1><p>"), body, F.lit("</p><ul>"), links, F.lit("</ul></body></html>"))
+    return _t(spark, d, "pages").select(at(n).alias("url"), at(n).alias("final_url"), page.alias("html"))
+
+
+_TREE = """tree AS (SELECT page_id + 1 AS n FROM pages),
+walk AS (SELECT n, (n % 7 <> 0) AS fits FROM tree),
+levels AS (SELECT n, CAST(floor(log2(n)) AS INTEGER) AS depth, fits FROM walk WHERE n >= 1),
+reached AS (SELECT * FROM levels WHERE depth <= 6)"""
+
+
+@_query(
+    f"""WITH {_TREE} SELECT n AS page, depth, fits AS stored FROM reached"""
+)
+def crawl_waves_run(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl from page 1 to the depth of six, wave after wave: the pages seen, their depths and whether they are stored."""
+    state = crawl.empty_state(spark)
+    start = spark.createDataFrame([(f"https://{_CRAWL_HOSTS[1]}/p1",)], "url string")
+    after, _ = crawl.crawl(state, _site(spark, d), NOW_MS, start, max_pages=100_000, per_host=10_000)
+    number = F.regexp_extract("url", "/p([0-9]+)$", 1).cast("long")
+    known = _site(spark, d).select("url")
+    stored = after["content"].select("url", F.lit(True).alias("stored"))
+    seen = after["seen"].join(known, "url", "left_semi").join(stored, "url", "left")
+    return seen.select(number.alias("page"), F.floor(F.log2(number)).cast("int").alias("depth"), F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
+@_query(
+    """WITH t AS (SELECT page_id + 1 AS n, page_id + 1 IN (SELECT 2 * (page_id + 1) FROM pages UNION SELECT 2 * (page_id + 1) + 1 FROM pages) AS linked FROM pages),
+o AS (SELECT unnest([2 * n, 2 * n + 1]) AS n FROM t),
+u AS (SELECT DISTINCT n FROM o WHERE n NOT IN (SELECT n FROM t))
+SELECT ['docs.rs', 'fly.io', 'go.dev', 'jvns.ca'][1 + n % 4] AS host, count(*) AS queued FROM u GROUP BY ALL"""
+)
+def crawl_outlinks(spark: SparkSession, d: str) -> DataFrame:
+    """One wave over all pages at once: how many of their outlinks enter each host's queue."""
+    site = _site(spark, d)
+    state = crawl.empty_state(spark, to_crawl=site.select("url", F.lit(0).alias("depth")))
+    # hosts with small caps keep fewer pages, but all links of what was seen are followed
+    wave = crawl.next_wave(state, 10**9)
+    after, _ = crawl.persist(state, wave, site, NOW_MS)
+    return after["to_crawl"].groupBy(urls.host("url").alias("host")).agg(F.count("*").alias("queued"))
+
+
+@_query(
+    f"""WITH {_REHOSTED}, {_BARE}, judged AS (SELECT *, {_REASON} FROM bare)
+SELECT count(DISTINCT canonical) FILTER (reason IS NULL) AS live, count(DISTINCT canonical) FILTER (reason IS NOT NULL) AS purged FROM judged"""
+)
+def crawl_recovery(spark: SparkSession, d: str) -> DataFrame:
+    """A queue read again after a stop: what is live in it, and what is purged."""
+    state = crawl.empty_state(spark, to_crawl=_rehosted(spark, d).select(F.col("canonical").alias("url"), F.lit(3).alias("depth")))
+    return crawl.recover(state)[1]
+
+
+@_query(
+    """WITH n AS (SELECT 'https://docs.rs/' || doc_id AS url, doc_id FROM documents), old AS (SELECT 'https://docs.rs/' || doc_id AS url FROM labels)
+SELECT url, 1 AS chunks FROM n WHERE url IN (SELECT url FROM old) UNION ALL SELECT url, 2 FROM n WHERE url NOT IN (SELECT url FROM old)"""
+)
+def normalize_queue(spark: SparkSession, d: str) -> DataFrame:
+    """The queue of pages worked off: labelled documents' pages get one chunk for their old two, the others keep theirs."""
+    url = F.concat(F.lit("https://docs.rs/"), F.col("doc_id").cast("string")).alias("url")
+    docs, queued = _t(spark, d, "documents").select(url), _t(spark, d, "labels").select(url)
+    block = F.struct(F.array(F.lit("H")).alias("heading_chain"), F.lit("One sentence.").alias("text"))
+    content = docs.select("url", F.lit("T").alias("title"), F.lit(None).cast("string").alias("description"), F.array(block).alias("blocks"))
+    orphan = spark.createDataFrame([("https://docs.rs/orphan",)], "url string")
+    state = crawl.empty_state(spark, content=content, normalize_queue=queued.unionByName(orphan))
+    old = pages.chunk_records(content.select("url", "title", F.array(block, block).alias("blocks")))
+    after, chunks = crawl.normalize(state, old)
+    return chunks.join(after["normalize_queue"].withColumnRenamed("url", "source_url"), "source_url", "left_anti").groupBy(F.col("source_url").alias("url")).agg(F.count("*").cast("int").alias("chunks"))
+
+
 # sources
 
 
@@ -543,6 +772,8 @@ def wiki_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 
 _POINTS = "CAST(page_id * 37 % 250 AS BIGINT)"
+_HARVESTED = f"""NOT regexp_matches(lower(path), '[.]({_RE(path_rules.HARVEST_BINARY)})$')
+  AND EXISTS (SELECT 1 FROM (SELECT unnest({_array(sorted(host_rules.HARVESTED))}) AS r) WHERE regexp_replace(host, '^www[.]', '') = r OR ends_with(host, '.' || r))"""
 
 
 def _bodies(spark: SparkSession, d: str, fields: dict) -> DataFrame:
@@ -550,7 +781,7 @@ def _bodies(spark: SparkSession, d: str, fields: dict) -> DataFrame:
     return _rehosted(spark, d).withColumn("points", F.col("page_id") * 37 % 250).groupBy((F.col("page_id") % 10).alias("b")).agg(listed.alias("hits"))
 
 
-@_query(f"WITH {_REHOSTED} SELECT canonical AS url, CAST(1000 + page_id AS BIGINT) AS created_at FROM parts WHERE {_POINTS} > 100 AND NOT regexp_matches(lower(path), '[.]({_RE(path_rules.HARVEST_BINARY)})$') AND EXISTS (SELECT 1 FROM (SELECT unnest({_array(sorted(host_rules.HARVESTED))}) AS r) WHERE regexp_replace(host, '^www[.]', '') = r OR ends_with(host, '.' || r))")
+@_query(f"WITH {_REHOSTED} SELECT canonical AS url, CAST(1000 + page_id AS BIGINT) AS created_at FROM parts WHERE {_POINTS} > 100 AND {_HARVESTED}")
 def harvest_stories(spark: SparkSession, d: str) -> DataFrame:
     """Links of well-scored stories on hosts that are harvested."""
     body = _bodies(spark, d, {"url": F.col("canonical"), "points": F.col("points"), "created_at_i": F.col("page_id") + 1000})
@@ -564,20 +795,46 @@ def harvest_cursor(spark: SparkSession, d: str) -> DataFrame:
     return records.hn_cursor(body.select(F.to_json(F.struct("hits")).alias("value")))
 
 
-@_query()
+_PLAIN = "SELECT canonical FROM parts JOIN pages USING (page_id) WHERE pages.url LIKE 'http:%'"
+
+
+@_query(f"WITH {_REHOSTED} SELECT DISTINCT canonical AS url FROM parts WHERE {_POINTS} >= 10 AND {_HARVESTED} AND canonical NOT IN ({_PLAIN})")
 def harvest_lobsters(spark: SparkSession, d: str) -> DataFrame:
-    """Links of the second aggregator, queued unless seen."""
+    """Links of the second aggregator, queued unless seen (as the pages with plain http are)."""
     body = _bodies(spark, d, {"url": F.col("canonical"), "score": F.col("points")})
     links = records.lobsters_links(body.select(F.to_json("hits").alias("value")))
-    seen = _rehosted(spark, d).where("page_id % 3 = 0").select(F.col("canonical").alias("url"))
+    seen = _plain(spark, d)
     return records.enqueue(links, seen, seen.limit(0))
 
 
-@_query("""SELECT page_id, len(regexp_extract_all(html, 'href="(/[^"]*)"')) AS links FROM pages""")
+def _plain(spark: SparkSession, d: str) -> DataFrame:
+    plain = _t(spark, d, "pages").where("url like 'http:%'").select("page_id")
+    return _rehosted(spark, d).join(plain, "page_id", "left_semi").select(F.col("canonical").alias("url"))
+
+
+@_query(
+    f"""WITH {_REHOSTED}, k AS (SELECT canonical, count(*) AS n FROM parts WHERE {_POINTS} >= 10 AND {_HARVESTED} GROUP BY canonical)
+SELECT count(*) FILTER (canonical NOT IN ({_PLAIN})) AS enqueued, CAST(sum(n) - count(*) FILTER (canonical NOT IN ({_PLAIN})) AS BIGINT) AS skipped FROM k"""
+)
+def harvest_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many links of a harvest enter the queue, and how many do not."""
+    body = _bodies(spark, d, {"url": F.col("canonical"), "score": F.col("points")})
+    seen = _plain(spark, d)
+    return records.enqueue_counts(records.lobsters_links(body.select(F.to_json("hits").alias("value"))), seen, seen.limit(0))
+
+
+@_query(f"WITH {_REHOSTED} SELECT canonical AS url FROM parts WHERE {_HARVESTED}")
+def harvest_tildes(spark: SparkSession, d: str) -> DataFrame:
+    """Links of the third aggregator's pages, its own left out."""
+    page = F.concat(F.lit('<p><a href="https://tildes.net/~x">x</a> <a href="/y">y</a> <a href="'), F.col("canonical"), F.lit('">z</a></p>'))
+    return records.tildes_links(_rehosted(spark, d).select(page.alias("html")))
+
+
+@_query("""SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS links FROM pages""")
 def link_extraction(spark: SparkSession, d: str) -> DataFrame:
-    """How many relative links every raw page has."""
-    found = F.size(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), 1)).cast("long")
-    return _t(spark, d, "pages").select("page_id", found.alias("links"))
+    """The links of every raw page, in order; its navigation, whose links do not count, read as a plain section."""
+    page = F.regexp_replace("html", r"(</?)nav\b", "$1div")
+    return _t(spark, d, "pages").select("page_id", html.parse_html(page)["links"].alias("links"))
 
 
 # tables
@@ -592,31 +849,57 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """WITH src AS (SELECT o_orderkey, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0), dst AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0)
-SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey, coalesce(s.o_totalprice, t.o_totalprice) AS o_totalprice FROM dst t FULL JOIN src s USING (o_orderkey)"""
+    """WITH src AS (SELECT o_orderkey + 7500 AS o_orderkey, o_totalprice * 3 AS o_totalprice FROM orders)
+SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey, coalesce(s.o_totalprice, t.o_totalprice) AS o_totalprice FROM orders t FULL JOIN src s USING (o_orderkey)"""
 )
 def merge_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Two keyed tables as one, the source winning."""
+    """All orders, upserted with two versions of each under shifted keys: the source wins, and its last version."""
     orders = _t(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    return tables.upsert(orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2), "o_orderkey")
+    version = lambda n: orders.select((F.col("o_orderkey") + 7500).alias("o_orderkey"), (F.col("o_totalprice") * n).alias("o_totalprice"), F.lit(n).alias("version"))
+    return tables.upsert(orders, version(3).unionByName(version(2)), "o_orderkey", "version")
 
 
-@_query(
-    """SELECT count(DISTINCT o_orderkey) AS written FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0"""
-)
+@_query("SELECT count(DISTINCT o_orderkey) AS written FROM orders WHERE o_orderkey + 7500 NOT IN (SELECT o_orderkey FROM orders)")
 def merge_written(spark: SparkSession, d: str) -> DataFrame:
     """How many keys a merge adds."""
     orders = _t(spark, d, "orders").select("o_orderkey")
-    return tables.merge_counts(orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 3 = 0"), "o_orderkey")
+    twice = orders.unionByName(orders).select((F.col("o_orderkey") + 7500).alias("o_orderkey"))
+    return tables.merge_counts(orders, twice, "o_orderkey")
+
+
+_FORCED = f"raw AS (SELECT page_id, replace(url, 'http://', 'https://') AS u FROM pages), {_CANON}"
 
 
 @_query(
-    """SELECT url FROM pages WHERE page_id % 2 = 0 UNION ALL (SELECT url FROM pages WHERE page_id % 3 = 0 EXCEPT SELECT url FROM pages WHERE page_id % 5 = 0 EXCEPT SELECT url FROM pages WHERE page_id % 2 = 0)"""
+    f"""WITH {_FORCED} SELECT url FROM pages UNION ALL
+(SELECT canonical FROM canon EXCEPT SELECT canonical FROM canon JOIN pages USING (page_id) WHERE url LIKE 'https:%' EXCEPT SELECT url FROM pages)"""
 )
 def merge_queues(spark: SparkSession, d: str) -> DataFrame:
-    """A queue with what another has that is neither seen nor queued."""
-    p = _t(spark, d, "pages").select("page_id", "url")
-    return tables.merge_queue(p.where("page_id % 2 = 0"), p.where("page_id % 3 = 0"), p.where("page_id % 5 = 0"))
+    """The pages' URLs as a queue, with all canonical forms that are neither seen (the https ones) nor queued."""
+    p = _t(spark, d, "pages")
+    forced = p.select(urls.canonicalize(F.regexp_replace("url", "^http://", "https://")).alias("url"))
+    return tables.merge_queue(p.select("url"), forced, p.select(urls.canonicalize("url").alias("url")).where("url is not null"))
+
+
+@_query(
+    f"""WITH {_FORCED}, s AS (SELECT canonical AS url FROM canon JOIN pages USING (page_id) WHERE url LIKE 'https:%')
+SELECT 'seen' AS family, (SELECT count(DISTINCT canonical) FROM canon WHERE canonical NOT IN (SELECT url FROM s)) AS written
+UNION ALL SELECT 'content', (SELECT count(DISTINCT canonical) FROM canon WHERE canonical NOT IN (SELECT url FROM pages))
+UNION ALL SELECT 'chunks', (SELECT count(*) FROM documents d WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents))
+UNION ALL SELECT 'embeddings', (SELECT count(*) FROM embeddings WHERE vec_id + 100 NOT IN (SELECT vec_id FROM embeddings))
+UNION ALL SELECT 'clicks', (SELECT count(*) FROM events)
+UNION ALL SELECT 'to_crawl', (SELECT count(DISTINCT url) FROM pages WHERE url NOT IN (SELECT canonical FROM canon))"""
+)
+def merge_families(spark: SparkSession, d: str) -> DataFrame:
+    """How many keys of every family a whole store adds to another."""
+    p, docs, e = _t(spark, d, "pages"), _t(spark, d, "documents"), _t(spark, d, "embeddings")
+    forced = p.select(urls.canonicalize(F.regexp_replace("url", "^http://", "https://")).alias("url"))
+    own = p.select(urls.canonicalize("url").alias("url")).where("url is not null")
+    clicks = _t(spark, d, "events").select(F.col("event_id").cast("string").alias("click_id"))
+    id_ = lambda c, by=1, more=0: (F.col(c) * by + more).cast("string").alias("chunk_id")
+    target = {"seen": own, "content": p.select("url"), "chunks": docs.select(id_("doc_id")), "embeddings": e.select(id_("vec_id")), "to_crawl": own.limit(0)}
+    source = {"seen": forced, "content": forced, "chunks": docs.select(id_("doc_id", 2)), "embeddings": e.select(id_("vec_id", 1, 100)), "clicks": clicks, "to_crawl": p.select("url")}
+    return tables.merge_all(target, source)[1]
 
 
 @_query(
@@ -628,6 +911,18 @@ def percentiles(spark: SparkSession, d: str) -> DataFrame:
     return tables.percentile(_t(spark, d, "events"), "value", 0.95, ["event_type"])
 
 
+@_query(
+    """WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM events WHERE value IS NOT NULL),
+p AS (SELECT unnest([0.0, 0.1, 0.5, 0.99, 1.0]) AS share)
+SELECT user_id, CAST(share AS DOUBLE) AS share, value AS percentile FROM n, p WHERE n = floor((c - 1) * share + 0.5) + 1"""
+)
+def user_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Five nearest-rank percentiles of each user's few events."""
+    own = _t(spark, d, "events").select("user_id", "value")
+    each = [tables.percentile(own, "value", share, ["user_id"]).select("user_id", F.lit(share).alias("share"), "percentile") for share in (0.0, 0.1, 0.5, 0.99, 1.0)]
+    return reduce(DataFrame.unionByName, each)
+
+
 # results and clicks
 
 
@@ -640,14 +935,14 @@ def result_snippets(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 3 = 1 THEN source ELSE source || '.example.com/' || doc_id END AS title,
-  replace(replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM documents"""
+  replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM documents"""
 )
 def result_titles(spark: SparkSession, d: str) -> DataFrame:
     """Titles from headings or address, and escaped text."""
     docs = _t(spark, d, "documents")
     chain = F.when(F.col("doc_id") % 3 == 0, F.array("lang", F.lit(""))).when(F.col("doc_id") % 3 == 1, F.array("lang", "source")).otherwise(F.array(F.lit("")))
     url = F.concat(F.lit("https://"), "source", F.lit(".example.com/"), F.col("doc_id").cast("string"), F.lit("?x#y"))
-    return docs.select("doc_id", serp.result_title(chain, url).alias("title"), serp.escape_html(F.left("text", F.lit(200))).alias("escaped"))
+    return docs.select("doc_id", serp.result_title(chain, url).alias("title"), serp.escape_html(F.col("text")).alias("escaped"))
 
 
 _HEX = "0800000000000000" + KEY.encode().hex()
@@ -682,11 +977,92 @@ def click_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return streams.clicks(e.select(token.alias("token")), KEY, NOW_MS).drop("click_id")
 
 
-# streams
+@_query(
+    f"""SELECT event_type AS query, user_id AS position, 'https://example.com/' || user_id AS target_url, CAST({NOW_MS} - event_id * 1000 AS BIGINT) AS timestamp_ms
+  FROM events WHERE event_id * 1000 <= 3600000"""
+)
+def click_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The same clicks, appended to a log of JSON lines and read again."""
+    e, at = _t(spark, d, "events"), _place(spark)
+    url = F.concat(F.lit("https://example.com/"), F.col("user_id").cast("string"))
+    tokens = e.select(serp.click_token(KEY, F.col("event_type"), F.col("user_id"), url, F.lit(NOW_MS) - F.col("event_id") * 1000).alias("token"))
+    sinks.log_clicks(tokens, KEY, NOW_MS, at)
+    return spark.read.schema("query string, position long, target_url string, timestamp_ms long").json(at)
 
 
-def _place(spark: SparkSession) -> str:
-    return f"{store.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+@_query(
+    """SELECT text AS current_sentence, lag(text, 1) OVER w AS prev_1, lag(text, 2) OVER w AS prev_2, lag(text, 3) OVER w AS prev_3, CAST(turn % 4 AS INTEGER) AS label
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
+)
+def label_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled turns, appended as JSON lines and read again."""
+    rows = records.label_rows(_t(spark, d, "conversations"), "conv_id", "turn", "text").withColumn("label", (F.col("turn") % 4).cast("int"))
+    at = _place(spark)
+    sinks.append_labels(rows, at)
+    return spark.read.schema("current_sentence string, prev_1 string, prev_2 string, prev_3 string, label int").json(at)
+
+
+@_query("SELECT vec_id, CAST(1 AS BIGINT) AS n FROM embeddings")
+def vector_sink(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors appended twice, the second time to no effect."""
+    own, at = _t(spark, d, "embeddings").select("vec_id", "embedding"), _place(spark)
+    for _ in range(2):
+        sinks.append_vectors(own, at, "vec_id")
+    return spark.read.parquet(at).groupBy("vec_id").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT count(*) AS cleared, CAST(0 AS BIGINT) AS left_over FROM embeddings")
+def clear_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """A table of vectors emptied."""
+    own, at = _t(spark, d, "embeddings").select("vec_id", "embedding"), _place(spark)
+    sinks.save_table(own, at)
+    rows = sinks.clear_table(spark, at)
+    return spark.read.parquet(at).agg(F.lit(rows).cast("long").alias("cleared"), F.count("*").alias("left_over"))
+
+
+@_query("SELECT page_id, CASE WHEN url LIKE 'https:%' THEN 'https://' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) END AS site FROM pages")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The engine's functions called from SQL."""
+    register.register(spark)
+    _t(spark, d, "pages").createOrReplaceTempView("sparkloom_pages")
+    return spark.sql("SELECT page_id, regexp_extract(canonical_url(url), '^https://[^/?#]+', 0) AS site FROM sparkloom_pages")
+
+
+@_query(
+    """SELECT page_id, regexp_matches(lower(h), 'noindex|none') AS kept_out FROM (SELECT page_id, ['all', 'NoIndex, nofollow', 'none', 'max-snippet:5'][1 + page_id % 4] AS h FROM pages)"""
+)
+def robots_header(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that a header keeps out of the index."""
+    header = F.element_at(F.array(*map(F.lit, ("all", "NoIndex, nofollow", "none", "max-snippet:5"))), (F.col("page_id") % 4 + 1).cast("int"))
+    return _t(spark, d, "pages").select("page_id", urls.noindex_header(header).alias("kept_out"))
+
+
+@_query(
+    """SELECT user_id, a, CASE WHEN a LIKE '10.%' OR a LIKE '192.168.%' OR a LIKE '127.%' OR a LIKE '169.254.%' THEN true ELSE false END AS private
+  FROM (SELECT DISTINCT user_id, ['10', '11', '127', '169.254', '192.168', '8.8'][1 + user_id % 6] || CASE WHEN user_id % 6 IN (0, 1, 2) THEN '.1' ELSE '' END || '.' || user_id % 250 || '.' || user_id % 200 AS a FROM events)
+  WHERE len(string_split(a, '.')) = 4"""
+)
+def private_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Which addresses must not be fetched."""
+    u = F.col("user_id")
+    head = F.element_at(F.array(*map(F.lit, ("10", "11", "127", "169.254", "192.168", "8.8"))), (u % 6 + 1).cast("int"))
+    a = F.concat(head, F.when(u % 6 < 3, ".1").otherwise(""), F.lit("."), (u % 250).cast("string"), F.lit("."), (u % 200).cast("string"))
+    rows = _t(spark, d, "events").select("user_id", a.alias("a")).distinct().where(F.size(F.split("a", "[.]")) == 4)
+    return rows.select("user_id", "a", urls.is_private("a").alias("private"))
+
+
+@_query(
+    f"""SELECT doc_id, replace(source, '&', '&amp;') AS title, [lang, source] AS breadcrumbs, source || '.example.com/' || doc_id AS display_url FROM documents"""
+)
+def result_page_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What a page of results shows of every document, were it the result for its own language."""
+    docs = _t(spark, d, "documents")
+    url = F.concat(F.lit("https://"), "source", F.lit(".example.com/"), F.col("doc_id").cast("string"))
+    results = docs.select(F.col("doc_id").alias("query_id"), F.col("lang").alias("query"), F.lit(1).alias("rank"), url.alias("source_url"), F.array("lang", "source").alias("heading_chain"), "text", F.lit(0.5).alias("score"))
+    return serp.result_rows(results, None, KEY, NOW_MS).select(F.col("query_id").alias("doc_id"), "title", "breadcrumbs", "display_url")
+
+
+# streams
 
 
 def _drained(spark: SparkSession, source: DataFrame, schema, each=None) -> DataFrame:
