@@ -32,7 +32,7 @@ def _cloud(spark, n=800, dim=16):
     rng = np.random.default_rng(2)
     rows = [(f"c{i}", x.tolist()) for i, x in enumerate(vectors.unit_rows(rng.standard_normal((n, dim))))]
     v = spark.createDataFrame(rows, "chunk_id string, vector array<float>")
-    q = spark.createDataFrame([(i, rows[i * 7][1]) for i in range(20)], "query_id long, vector array<float>")
+    q = spark.createDataFrame([(i, rows[i * 7 % n][1]) for i in range(20)], "query_id long, vector array<float>")
     return v, q
 
 
