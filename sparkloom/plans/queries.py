@@ -688,7 +688,7 @@ def _site(spark: SparkSession, d: str) -> DataFrame:
     at = lambda n: F.concat(F.lit("https://"), F.element_at(F.array(*[F.lit(h) for h in _CRAWL_HOSTS]), (n % 4 + 1).cast("int")), F.lit("/p"), n.cast("string"))
     n = F.col("page_id") + 1
     body = F.when(n % 7 == 0, "short").otherwise(F.lit(" ".join([_PROSE] * 5)))
-    links = F.concat(*[F.concat(F.lit('<li>Another page of the same text is here: <a href="'), at(x), F.lit('">next</a></li>')) for x in (n * 2, n * 2 + 1)])
+    links = F.concat(*[F.concat(F.lit('<li>Another page of the same text, with as much to read in it as this one has, is to be found here: <a href="'), at(x), F.lit('">next</a></li>')) for x in (n * 2, n * 2 + 1)])
     page = F.concat(F.lit("<html><head><title>T"), n.cast("string"), F.lit("</title></head><body><h1>H</h1><p>"), body, F.lit("</p><ul>"), links, F.lit("</ul></body></html>"))
     return _t(spark, d, "pages").select(at(n).alias("url"), at(n).alias("final_url"), page.alias("html"))
 
