@@ -7,7 +7,9 @@ which each begins, then the length of the whole. Token i is in block i // BLOCK,
 vectorised numpy operations and no loop over ids.
 
 Defined results: null and empty texts have no ids: ``n_tokens`` 0, an empty ``packed``
-and offsets [0]. Every row has a row in the result; repeated rows and null ids too.
+and offsets [0]. Every row has a row in the result; repeated rows and null ids too. A very long
+text has as many blocks as its ids fill. An empty table gives an empty one. Other columns, whatever their
+names, are not looked at.
 """
 
 from __future__ import annotations

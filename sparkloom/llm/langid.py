@@ -19,7 +19,8 @@ for each bucket, some MB whatever the corpus. Every text is read whole, on its o
 Defined results: every row has a row in the result, repeated rows and null ids too.
 Null, empty and letterless texts, and all texts where no row has a label, have language
 ``und``, confidence 0 and are not accepted. Rejected texts keep their best guess and its
-confidence. Rows with a null label are not trained on. Other columns are ignored.
+confidence. Rows with a null label are not trained on. A very long text counts whole, read on its
+own, but is not trained on. An empty table gives an empty one. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,34 @@ def test_means_are_those_of_single_texts():
         assert k[0] == n and np.allclose(own[0], m)
 
 
+def brute(model, text):
+    """Language, probability and acceptance of one text, word by word."""
+    total, size = np.zeros(model.table.shape[1]), 0
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        for bucket in l.subwords(pa.array([word]))[0]:
+            total += model.table[bucket]
+            size += 1
+    if not size:
+        return -1, 0.0, False
+    mean = total / size
+    scores = [(s + b) / model.temperature for s, b in zip(mean[:-1], model.bias)]
+    whole = sum(math.exp(s) for s in scores)
+    best = max(range(len(scores)), key=scores.__getitem__)
+    most = math.exp(scores[best]) / whole
+    return best, most, most >= model.least and mean[-1] >= model.least_seen
+
+
+def test_softmax_matches_brute_force():
+    data = rows(9, 30)
+    model = l.train([t for _, t, _ in data], [x for _, _, x in data])
+    texts = [t for _, t, _ in rows(10, 12)] + [None, "", "12", "a", "ba ke qq", "Bä-KE lo2mi", "ba " * 300]
+    best, most, good = model.predict(pa.array(texts, pa.string()))
+    for at, text in enumerate(texts):
+        want = brute(model, text)
+        assert best[at] == want[0] and abs(most[at] - want[1]) < 1e-5, text
+        assert good[at] == want[2] or abs(want[1] - model.least) < 1e-5
+
+
 def test_on_spark(spark):
     data = rows(5)
     odd = [(None, data[0][1], "xx"), (900, None, "xx"), (901, "", None), (902, "12 34", None), (903, data[0][1], None), (903, data[0][1], None), (904, "bake lomi " * 100_000, None)]
