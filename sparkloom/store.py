@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written as Parquet below the shared folder and read back."""
+def written(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder, with the writer's ``options``, and read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _kept.setdefault(spark.sparkContext.applicationId, set()).add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sparkloom_path = path
