@@ -50,7 +50,9 @@ from sparkloom.llm.words import lower_words, stretches
 K, K1, B = 10, 1.2, 0.75
 BLOCK = 128
 BLOCKS_AT_ONCE = 128
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 2 << 20
+#: Rows of the index are some 100 kB, so its files have small row groups.
+ROW_GROUP = 16 << 20
 QUERIES = 2048
 DIGITS = 6
 SLACK = 1e-5
@@ -90,11 +92,22 @@ def _blocks(ids: np.ndarray, texts: pa.Array) -> Iterator[tuple]:
         np.maximum.at(most, local, count)
         np.minimum.at(least, local, lengths[doc])
         ends = np.searchsorted(doc, own, side="right")
-        numbers = [np.bincount(local), most, least, None, lengths[own], ends, local, count]
-        packed = [ids[own].tobytes() if x is None else x.astype(np.int32).tobytes() for x in numbers]
+        numbers = [np.bincount(local), most, least, None, lengths[own], ends]
+        packed = [ids[own].tobytes() if x is None else x.astype(np.int32).tobytes() for x in numbers] + [_narrow(local), _narrow(count)]
         yield len(own), int(lengths[own].sum()), " ".join(words.take(pa.array(held)).to_pylist()), *packed
 
 
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on in the fewest of 1, 2 or 4 bytes each."""
+    most = numbers.max(initial=0)
+    return numbers.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    """The n numbers that :func:`_narrow` wrote."""
+    return np.frombuffer(raw, f"u{max(1, len(raw) // max(1, n))}")
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each block of documents; write it, and search it as often as wanted."""
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
@@ -153,15 +166,14 @@ class Block:
     def forward(self) -> tuple:
         """Ids of the documents with any of the batch's words, where their postings begin, and these."""
         if self._held is None:
-            ids, lengths, ends, local, counts = (
-                np.frombuffer(self.row[c], t) for c, t in (("ids", np.int64), ("lengths", np.int32), ("ends", np.int32), ("terms", np.int32), ("counts", np.int32))
-            )
+            ids, lengths, ends = (np.frombuffer(self.row[c], t) for c, t in (("ids", np.int64), ("lengths", np.int32), ("ends", np.int32)))
+            local, counts = (_wide(self.row[c], int(ends[-1])) for c in ("terms", "counts"))
             doc = np.repeat(np.arange(len(ids)), np.diff(np.r_[0, ends]))
             term = self.terms[local]
             keep = np.flatnonzero(term >= 0)
-            doc, term = doc[keep], term[keep]
+            doc, term, counts = doc[keep], term[keep], counts[keep].astype(np.int64)
             held, starts = np.unique(doc, return_index=True)
-            self._held = ids[held], starts, term, self.searcher.impact(term, counts[keep], lengths[doc])
+            self._held = ids[held], starts, term, self.searcher.impact(term, counts, lengths[doc])
             self.row = {}
         return self._held
 
@@ -280,7 +292,7 @@ def top_k(
     query_text: str = "text",
 ) -> DataFrame:
     """:func:`search` over an index of ``docs``, built and written for the purpose."""
-    index = store.written(build_index(docs, id_col, text_col), "forward")
+    index = store.written(build_index(docs, id_col, text_col), "forward", **{"parquet.block.size": str(ROW_GROUP)})
     return search(index, queries, k, at_once, query_id, query_text)
 
 
