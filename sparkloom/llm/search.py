@@ -92,8 +92,8 @@ def _blocks(ids: np.ndarray, texts: pa.Array) -> Iterator[tuple]:
         np.maximum.at(most, local, count)
         np.minimum.at(least, local, lengths[doc])
         ends = np.searchsorted(doc, own, side="right")
-        numbers = [np.bincount(local), most, least, None, lengths[own], ends]
-        packed = [ids[own].tobytes() if x is None else x.astype(np.int32).tobytes() for x in numbers] + [_narrow(local), _narrow(count)]
+        sizes_ = [x.astype(np.int32).tobytes() for x in (lengths[own], ends)]
+        packed = [*map(_narrow, (np.bincount(local), most, least)), ids[own].tobytes(), *sizes_, _narrow(local), _narrow(count)]
         yield len(own), int(lengths[own].sum()), " ".join(words.take(pa.array(held)).to_pylist()), *packed
 
 
@@ -141,8 +141,8 @@ def _df(index: DataFrame, vocabulary: list[str]) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, asked = np.zeros(len(vocabulary), np.int64), pa.array(vocabulary, pa.string())
         for batch in batches:
-            held, _ = _known(batch.column(0), asked)
-            docs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32)
+            held, offsets = _known(batch.column(0), asked)
+            docs = np.concatenate([np.empty(0, np.int64), *[_wide(raw, n) for raw, n in zip(batch.column(1).to_pylist(), np.diff(offsets))]])
             total += np.bincount(held[held >= 0], docs[held >= 0], minlength=len(vocabulary)).astype(np.int64)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["term", "df"])
@@ -159,7 +159,7 @@ class Block:
     def __init__(self, row: dict, terms: np.ndarray, searcher: Searcher):
         self.row, self.terms, self.searcher, self._held = row, terms, searcher, None
         self.found = np.flatnonzero(terms >= 0)
-        most, least = (np.frombuffer(row[c], np.int32)[self.found] for c in ("most_count", "least_length"))
+        most, least = (_wide(row[c], len(terms))[self.found].astype(np.int64) for c in ("most_count", "least_length"))
         self.bound = searcher.impact(terms[self.found], most, least)
 
     @property
