@@ -108,6 +108,29 @@ def test_stages_and_run(spark, tmp_path):
     assert all(load[r.window_id] == r.window_tokens for r in out)
 
 
+def test_clashing_columns_long_texts_and_ties(spark, tmp_path):
+    rng = random.Random(8)
+    long = " ".join(str(rng.randrange(10**9)) for _ in range(60_000))
+    names = ["repeat_fraction", "longest_repeat", "_gone", "_source", "_doc", "_times", "n_tokens", "key", "copies", "group", "a b"]
+    rows = [(r[0], r[1], r[2], r[3], r[4], *[f"{c}{i}" for c in names]) for i, r in enumerate(table()[:40])]
+    rows += [(800, long, "en", "s0", len(long), *names), (7, rows[7][1], "en", rows[7][3], rows[7][4], *names)]
+    schema = SCHEMA + "".join(f", `{c}` string" for c in names)
+    df = spark.createDataFrame(rows, schema)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {(r[0], r[5:]) for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns and docs.dtypes == df.dtypes, name
+        found = docs.collect()
+        assert {(r[0], tuple(r)[5:]) for r in found} <= kept, name
+        if name != "mixing":
+            assert [len(r.text) for r in found if r.doc_id == 800] == [len(long)], name
+            assert sum(r.doc_id == 7 for r in found) == 2, name  # rows that repeat an id stay together
+    out = corpus_pipeline.packing_windows(spark, df, str(tmp_path)).where("doc_id = 800").collect()
+    assert sum(r.n_tokens for r in out) == coder().count(long) and max(r.piece for r in out) > 10
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
