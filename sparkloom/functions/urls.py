@@ -326,6 +326,11 @@ def display_url(url: Column | str) -> Column:
     return F.coalesce(F.concat(host(url), F.when(path(url) == "/", "").otherwise(path(url))), _c(url))
 
 
+def is_web(url: Column | str) -> Column:
+    """Whether a link is of http or https at all."""
+    return F.coalesce(_c(url).rlike("^(?i)https?://"), F.lit(False))
+
+
 def robots_rules(text: str | None) -> list[str]:
     """The path prefixes that a robots.txt forbids to every agent."""
     out, everyone = [], False

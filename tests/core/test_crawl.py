@@ -1,8 +1,9 @@
 import pytest
 
 from sparkloom.functions import register, serp
-from sparkloom.operators import crawl, pages
-from sparkloom.sources import records, sinks
+from sparkloom.operators import crawl, embedders, pages
+from sparkloom.plans import engine
+from sparkloom.sources import config, records, sinks
 
 PROSE = "<p>" + "Some words that make the page long enough to be kept. " * 9 + "</p><p>And one more block of text stands here.</p>"
 
@@ -110,3 +111,22 @@ def test_pages_of_results(spark):
     page = serp.result_page("a <q>", own, 1500)
     assert "a &lt;q&gt;" in page and "(1.50 seconds)" in page and "T&lt;" in page and "i.png" in page and "<q>" not in page
     assert "Nothing found" in serp.result_page("x", [])
+
+
+def test_the_engine_from_settings(spark, tmp_path):
+    topics = {"sorting": "Quick sort splits the array. ", "hashing": "A hash table stores keys in buckets. ", "graphs": "Breadth first search visits nodes by distance. "}
+    rows = [(f"https://docs.rs/{t}", f"<html><head><title>{t}</title></head><body><h1>{t}</h1>" + "".join(f"<p>{s * 3} Paragraph {i} tells more of {t} than the last one did.</p>" for i in range(6)) + "</body></html>") for t, s in topics.items()]
+    df = spark.createDataFrame(rows, "url string, html string")
+    asked = spark.createDataFrame([(1, "hash table buckets"), (2, "breadth search nodes")], "query_id long, text string")
+    found = {}
+    for backend in ("bruteforce", "cells"):
+        settings = config.Config(embedding=config.Embedding(dim=64), index=config.Index(backend, 4, 4))
+        own = engine.Engine.build(spark, df, f"{tmp_path}/{backend}", settings)
+        found[backend] = sorted(map(tuple, engine.Engine(spark, f"{tmp_path}/{backend}", settings).search(asked, 3).collect()))
+    assert found["bruteforce"] == found["cells"]
+    assert {(r[0], r[4]) for r in found["cells"] if r[1] == 1} == {(1, "https://docs.rs/hashing"), (2, "https://docs.rs/graphs")}
+    own.add_articles(spark.createDataFrame([('{"title":"Hash table","summary":"hash table buckets"}',)], "value string"))
+    assert [(r.query_id, r.title) for r in own.panels(asked).collect()] == [(1, "Hash table")]
+    assert pages.leaf_sample(own.chunks, 2).count() == 2
+    with pytest.raises(ValueError):
+        engine.Engine(spark, f"{tmp_path}/cells", config.Config(embedding=config.Embedding(dim=32)), embedders.named("hashing", 64))
