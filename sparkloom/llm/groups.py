@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(work: Work) -> Work:
+    """A stage that hands the memory it no longer uses back when a task ends.
+
+    Workers are kept from task to task; what their allocators hold on to would count against the
+    executor while other stages run.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+            if trim is not None:
+                trim(0)
+
+    return run
+
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal values in a sorted array."""

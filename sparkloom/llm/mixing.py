@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom import store
+from sparkloom.llm.groups import lean
 from sparkloom.llm.tokens import DEFAULT_VOCABULARY, coder
 
 ALPHA = 0.7
@@ -57,7 +58,7 @@ def counted(df: DataFrame, path: str = DEFAULT_VOCABULARY, text_col: str = "text
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], sizes], names=[*batch.schema.names[:at], "n_tokens"])
 
     schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType())])
-    return df.select(*[f"`{f.name}`" for f in kept], f"`{text_col}`").mapInArrow(work, schema)
+    return df.select(*[f"`{f.name}`" for f in kept], f"`{text_col}`").mapInArrow(lean(work), schema)
 
 
 def repeated(df: DataFrame, times: str, name: str) -> DataFrame:

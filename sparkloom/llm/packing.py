@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom import store
-from sparkloom.llm.groups import runs, whole_groups
+from sparkloom.llm.groups import lean, runs, whole_groups
 from sparkloom.llm.mixing import counted, repeated
 from sparkloom.llm.tokens import DEFAULT_VOCABULARY
 
@@ -150,7 +150,7 @@ def pack(
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"window_id long, doc_id {kind}, piece long, start_token long, n_tokens long, window_tokens long"
-    return grouped.repartition("group").sortWithinPartitions("group", "doc_id", "n_tokens").mapInArrow(solve, schema)
+    return grouped.repartition("group").sortWithinPartitions("group", "doc_id", "n_tokens").mapInArrow(lean(solve), schema)
 
 
 def _solve_group(tokens: np.ndarray, capacity: int) -> np.ndarray:

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from sparkloom.llm.groups import lean
+
 MIN_CHARS = 24
 MAX_FRACTION = 0.75
 MAX_LONGEST = 1000
@@ -249,7 +251,7 @@ def _scored(df: DataFrame, text_col: str, min_chars: int, limits: tuple[float, i
                 out = out.filter(pa.array((fraction <= limits[0]) & (longest <= limits[1])))
             yield out
 
-    return df.select(*[f"`{n}`" for n in names]).mapInArrow(score, schema)
+    return df.select(*[f"`{n}`" for n in names]).mapInArrow(lean(score), schema)
 
 
 def repetition_scores(df: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -287,4 +289,4 @@ def drop_repetitive(
             fraction, longest = profile(batch.column(at).to_pylist(), min_chars, max_fraction)
             yield batch.filter(pa.array((fraction <= max_fraction) & (longest <= max_longest)))
 
-    return df.mapInArrow(judge, df.schema)
+    return df.mapInArrow(lean(judge), df.schema)

@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom import store
+from sparkloom.llm.groups import lean
 from sparkloom.llm.tokens import ragged, slices
 from sparkloom.llm.words import lower_words, stretches
 
@@ -124,7 +125,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _INDEX.split(", ")])
 
     plain = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(work, _INDEX)
+    return plain.mapInArrow(lean(work), _INDEX)
 
 
 def _known(words: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +252,7 @@ def _round(index: DataFrame, n: int, mean: float, keys: list, words: list[list[s
 
     def run(floor: np.ndarray, first_only: bool) -> DataFrame:
         own = Searcher(queries, vocabulary, idf, mean, k, floor)
-        return index.mapInArrow(lambda batches: own.search(batches, first_only), "q long, doc_id long, score double")
+        return index.mapInArrow(lean(lambda batches: own.search(batches, first_only)), "q long, doc_id long, score double")
 
     order = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
     ranked = run(np.zeros(len(queries)), True).withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
