@@ -92,5 +92,7 @@ def test_packed_ids_and_secrets_queries(spark):
     assert {r.doc_id for r in out} == set(rows)
     for r in out:
         assert bitpack.unpack(r.packed, r.offsets, bits, r.n_tokens).tolist() == coder.encoding.encode_ordinary(rows[r.doc_id] or "")
+    larger = SF.replace("0.001", "0.01")  # the smallest tables hold no secret
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "text").collect()}
     want = sorted((i, a, b - a) for i, t in rows.items() for a, b, _ in secret_scan.findings(t, tokens.DEFAULT_VOCABULARY, secret_scan.MAX_RATIO))
-    assert sorted((r.doc_id, r.start, r.length) for r in entry.queries()["op8_secrets"](spark, SF).collect()) == want and want
+    assert sorted((r.doc_id, r.start, r.length) for r in entry.queries()["op8_secrets"](spark, larger).collect()) == want and want
