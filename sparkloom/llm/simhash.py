@@ -9,17 +9,16 @@ segments of two bits. The Manhattan distance of two such vectors never exceeds t
 Hamming distance of the fingerprints. Points are joined by a grid: a band is a choice of
 segments, a point's counts in them its cell there, and two points within the band's radius
 of each other are compared, first by the Manhattan distance of the whole vectors, kept in
-unary so that it is one population count, and then by the exact Hamming distance.
+unary so that it is one population count, and then by the exact Hamming distance. Half of
+the bits, which can differ in no more than all of them, are looked at before either.
 
-*Core* bands share all 128 segments out between them and have radius 1: every point looks
+The bands share all 128 segments out between them and have radius 1: every point looks
 into its own cell and into those one step up in a segment, so any two whose counts in the band
-differ by one step at most meet. With c core bands, two points that never meet are at least 2c
-bits apart: up to 2c - 1 bits the search is exact. *Further* bands, of radius 0, raise the
-chance of pairs beyond that to ``RECALL`` at ``MAX_DISTANCE``, the farthest, tried on pairs
-with randomly placed differences; where 2c - 1 reaches the limit there are none. How many core bands there
-are, and how many segments a further band has, follows from the number of points and from
-how often two of them agree in a segment, both counted over all points: an unrelated
-partner costs a sixtieth of a row that is shuffled, and bands are as wide as that balances.
+differ by one step at most meet. With c bands, two points that never meet are at least 2c
+bits apart, so c is the smallest number for which 2c exceeds the limit, and every pair
+within the limit meets. The bands follow from the limit alone: what is found depends neither on
+how many points there are nor on how much they are alike. What does grow with these is the
+work: unrelated points share cells, and the pairs compared grow with the square of the points.
 
 No cell is skipped and no partner dropped. A task passes on a cell of over ``HOT`` rows
 instead of working on it; its rows are then dealt to blocks and every two blocks are compared in a
@@ -37,9 +36,9 @@ through the filter.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,16 +55,15 @@ from sparkloom.llm.tokens import ragged
 BITS = 256
 SEGMENTS = BITS // 2
 MAX_DISTANCE = 36
-RECALL = 0.9
+#: Share of the pairs within the distance that meet: all, whatever the table's size.
+RECALL = 1.0
 DOCS_AT_ONCE = 1000
-#: Unrelated partners that cost as much as one row that is shuffled.
-PARTNERS = 60
-#: Pairs that the number of further bands is tried on.
-TRIALS = 10_000
-HOT = 16384
-BLOCK = 4096
+HOT = 65_536
+BLOCK = 32_768
 ROWS_AT_ONCE = 50_000
 PAIRS_AT_ONCE = 200_000
+#: Cells of up to this many rows are compared many at a time, larger ones each by itself.
+SMALL = 256
 #: Up to this many ids (8 bytes each) the documents to leave out are broadcast.
 BROADCAST_IDS = 4_000_000
 WORD = re.compile(r"\w+")
@@ -117,48 +115,14 @@ def unary(prints: np.ndarray) -> np.ndarray:
 Band = tuple[np.ndarray, int]
 
 
-def bands(points: int, agree: np.ndarray, max_distance: int = MAX_DISTANCE, recall: float = RECALL) -> list[Band]:
-    """Segments and radius of every band.
+def bands(points: int | None = None, agree: np.ndarray | None = None, max_distance: int = MAX_DISTANCE) -> list[Band]:
+    """Segments and radius of every band: as many as it takes for all pairs within the distance to meet.
 
-    ``agree`` has for each segment how often two of the points agree in it.
+    ``points`` and ``agree`` (how many points there are, how often two agree in each segment)
+    are not looked at: bands that follow them would find other pairs in a larger table.
     """
-    log_agree = float(np.log(np.clip(agree, 0.05, 0.95)).mean())
-
-    def partners(segments: float, radius: int) -> float:
-        same = points * math.exp(log_agree * segments)
-        return same * (1 + radius * segments * 1.3)
-
-    core = 4  # a cell's number must fit 64 bits
-    while core < max_distance // 2 + 1 and partners(SEGMENTS / (core + 1), 1) <= PARTNERS * (1 + 0.75 * SEGMENTS / (core + 1)):
-        core += 1
-    hand = np.array_split(np.random.default_rng(20).permutation(SEGMENTS), core)
-    out: list[Band] = [(own, 1) for own in hand]
-    if 2 * core - 1 >= max_distance:
-        return out
-    size = 1
-    while size < 30 and partners(size, 0) > PARTNERS:
-        size += 1
-    apart = _trial(max_distance)
-    missed = np.ones(len(apart), bool)
-    for own in hand:
-        missed &= apart[:, own].sum(axis=1) > 1
-    dice, deck = np.random.default_rng(21), np.empty(0, np.int64)
-    while missed.mean() > 1 - recall:
-        if len(deck) < size:
-            deck = dice.permutation(SEGMENTS)
-        own, deck = deck[:size], deck[size:]
-        out.append((own, 0))
-        missed &= apart[:, own].any(axis=1)
-    return out
-
-
-def _trial(distance: int) -> np.ndarray:
-    """For ``TRIALS`` random fingerprints and others that many bits away, how far they are apart in every segment."""
-    dice = np.random.default_rng(22)
-    bits = dice.integers(0, 2, (TRIALS, BITS), dtype=np.int8)
-    flips = dice.permuted(np.tile(np.arange(BITS) < distance, (TRIALS, 1)), axis=1)
-    moved = np.where(flips, 1 - 2 * bits, 0).reshape(TRIALS, SEGMENTS, BITS // SEGMENTS)
-    return np.abs(moved.sum(axis=2))
+    core = max(4, max_distance // 2 + 1)  # a cell's number must fit 64 bits
+    return [(own, 1) for own in np.array_split(np.random.default_rng(20).permutation(SEGMENTS), core)]
 
 
 def _counts(prints: np.ndarray) -> np.ndarray:
@@ -221,37 +185,84 @@ def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def links(keys: np.ndarray, prints: np.ndarray, most: int, side: np.ndarray | None = None) -> np.ndarray:
-    """Pairs of rows that connect all near ones that meet in a cell; rows are sorted by key.
-
-    Points meet where at least one of them is at home. Where there are sides and they
-    are not all equal in a cell, just rows of different sides are compared.
-    """
-    words, counts = np.ascontiguousarray(prints).view(np.uint64), unary(prints)
-    starts, sizes = runs(keys >> 1)
-    ends = np.repeat(starts + sizes, sizes)
-    after = np.where(keys & 1, 0, ends - np.arange(len(keys)) - 1)
+def _small_cells(keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that meet in the given cells, ``PAIRS_AT_ONCE`` at a time."""
+    all_rows = ragged(starts, sizes)
+    after = np.where(keys[all_rows] & 1, 0, np.repeat(starts + sizes, sizes) - all_rows - 1)
     before = np.cumsum(after) - after
-    one, other = [], []
     for at in range(0, int(after.sum()), PAIRS_AT_ONCE):
         low, high = np.searchsorted(before + after, at, side="right"), np.searchsorted(before, at + PAIRS_AT_ONCE, side="left")
-        rows = np.arange(low, high)
-        first = np.maximum(at - before[rows], 0)
-        own = np.minimum(after[rows], at + PAIRS_AT_ONCE - before[rows]) - first
+        span = np.arange(low, high)
+        first = np.maximum(at - before[span], 0)
+        own = np.minimum(after[span], at + PAIRS_AT_ONCE - before[span]) - first
+        rows = all_rows[span]
         a, b = np.repeat(rows, own), ragged(rows + 1 + first, own)
         if side is not None:
             apart = side[a] != side[b]
             a, b = a[apart], b[apart]
+        yield a, b
+
+
+def _large_cell(
+    keys: np.ndarray, halves: np.ndarray, start: int, size: int, most: int, side: np.ndarray | None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that meet in one cell and are near in half of their bits, found in tiles of rows by columns."""
+    rows = np.arange(start, start + size)
+    home = rows[: size - int((keys[rows] & 1).sum())]
+    own = None if side is None else side[rows]
+    if own is None:
+        parts = [(home, rows)]
+    else:  # rows of a side with those of the later ones, and with all that are just looking
+        looking = np.arange(size) >= len(home)
+        parts = [(home[own[: len(home)] == v], rows[(own > v) | (looking & (own != v))]) for v in np.unique(own)]
+    for these, those in parts:
+        at = 0
+        while at < len(these):
+            if own is None:
+                those = rows[at:]
+            step = max(1, PAIRS_AT_ONCE // max(1, len(those)))
+            tile = these[at : at + step]
+            apart = np.bitwise_count(halves[0, tile, None] ^ halves[0, those])
+            apart += np.bitwise_count(halves[1, tile, None] ^ halves[1, those])
+            a, b = np.divmod(np.flatnonzero(apart <= most), max(1, len(those)))
+            a, b = tile[a], those[b]
+            yield (a[a < b], b[a < b]) if own is None else (a, b)
+            at += step
+
+
+def links(keys: np.ndarray, prints: np.ndarray, most: int, side: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of rows that connect all near ones that meet in a cell; rows are sorted by key.
+
+    Points meet where at least one of them is at home. Where there are sides, just rows
+    of different sides are compared.
+    """
+    words, counts = np.ascontiguousarray(prints).view(np.uint64), unary(prints)
+    halves = np.ascontiguousarray(words[:, :2].T)
+    starts, sizes = runs(keys >> 1)
+    small = sizes <= SMALL
+    tiles = (_large_cell(keys, halves, start, size, most, side) for start, size in zip(starts[~small].tolist(), sizes[~small].tolist()))
+    one, other = np.empty(0, np.int64), np.empty(0, np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def spanning() -> tuple[np.ndarray, np.ndarray]:
+        label = _joined(len(keys), *(np.concatenate(ends) for ends in zip((one, other), *found)))
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return label[moved], moved
+
+    held = 0
+    for a, b in chain(_small_cells(keys, starts[small], sizes[small], side), chain.from_iterable(tiles)):
+        near = np.bitwise_count(halves[0, a] ^ halves[0, b]) + np.bitwise_count(halves[1, a] ^ halves[1, b]) <= most
+        a, b = a[near], b[near]
         near = np.bitwise_count(counts[a] ^ counts[b]).sum(axis=1, dtype=np.int64) <= most
         a, b = a[near], b[near]
         near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= most
-        one.append(a[near])
-        other.append(b[near])
-    if not one:
-        return np.empty((0, 2), np.int64)
-    label = _joined(len(keys), np.concatenate(one), np.concatenate(other))
-    moved = np.flatnonzero(label != np.arange(len(label)))
-    return np.column_stack([label[moved], moved])
+        if near.any():
+            found.append((a[near], b[near]))
+            held += len(found[-1][0])
+        if held > max(len(keys), 10 * PAIRS_AT_ONCE):  # thousands of texts may all be near each other
+            one, other = spanning()
+            found, held = [], 0
+    return np.column_stack(spanning())
 
 
 def fingerprint(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -321,9 +332,9 @@ def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def near_edges(points: DataFrame, max_distance: int = MAX_DISTANCE, recall: float = RECALL, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def near_edges(points: DataFrame, max_distance: int = MAX_DISTANCE, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """Edges ``(u, v)`` that connect the near fingerprints of ``(id, print)``, which are distinct."""
-    plan = bands(*agreement(points), max_distance, recall)
+    plan = bands(*agreement(points), max_distance)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,9 +382,7 @@ def near_edges(points: DataFrame, max_distance: int = MAX_DISTANCE, recall: floa
     return edges.unionByName(crossed)
 
 
-def near_duplicates(
-    df: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_distance: int = MAX_DISTANCE, recall: float = RECALL
-) -> DataFrame:
+def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``(doc_id, rep_doc_id)`` for every document that a near one with a smaller id stands for.
 
     A group is a connected component of the pairs within ``max_distance`` bits. Equal
@@ -383,7 +392,7 @@ def near_duplicates(
     prints = store.written(fingerprint(df, text_col, id_col), "prints")
     points = store.written(prints.groupBy("print").agg(F.min("id").alias("id")).select("id", "print"), "points")
     equal = prints.join(points.withColumnRenamed("id", "u"), "print").where("id <> u").select("u", F.col("id").alias("v"))
-    found = components(equal.unionByName(near_edges(points, max_distance, recall)))
+    found = components(equal.unionByName(near_edges(points, max_distance)))
     store.drop(prints)
     store.drop(points)
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("rep_doc_id"))

@@ -202,3 +202,54 @@ def test_components_of_chains(spark):
     chain = [(i + 1, i) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 202), (201, 202)]
     found = {(r.node, r.root) for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert found == {(i, 0) for i in range(1, 41)} | {(101, 100), (201, 200), (202, 200)}
+
+
+def test_every_near_pair_meets_at_any_size():
+    for n in (1000, 236_000, 15_000_000, 10**10):
+        for share in (0.375, 0.7):
+            plan = s.bands(n, np.full(s.SEGMENTS, share))
+            for distance in (11, 25, 30, s.MAX_DISTANCE):
+                assert same_cell(*flipped(distance, 1000, distance), plan).all(), (n, share, distance)
+
+
+def alike(n=400, seed=9):
+    """Fingerprints that have most bits in common, far from each other, and for each one exactly at the limit."""
+    rng = np.random.default_rng(seed)
+    bits = np.tile(rng.integers(0, 2, s.BITS, dtype=np.uint8), (2 * n, 1))
+    for row in range(n):
+        bits[row, rng.choice(s.BITS, 48, replace=False)] ^= 1
+        bits[n + row] = bits[row]
+        bits[n + row, rng.choice(s.BITS, s.MAX_DISTANCE, replace=False)] ^= 1
+    return np.packbits(bits, axis=1)
+
+
+def test_large_cells_find_what_every_pair_does(monkeypatch):
+    prints = alike(200)
+    n = len(prints)
+    monkeypatch.setattr(s, "SMALL", 20)
+    keys = np.sort(np.r_[np.zeros(200, np.int64), np.ones(50, np.int64), np.full(n - 250, 2)])
+    order, side = np.random.default_rng(1).permutation(n), np.arange(n) % 3
+    shuffled = prints[order]
+    truth = {p for p in brute(shuffled, s.MAX_DISTANCE) if keys[p[0]] >> 1 == keys[p[1]] >> 1 and not keys[p[0]] & 1}
+    assert len(truth) > 50
+    for pairs in (10**6, 1000, 7):
+        monkeypatch.setattr(s, "PAIRS_AT_ONCE", pairs)
+        assert roots(n, s.links(keys, shuffled, s.MAX_DISTANCE)) == roots(n, truth)
+        want = [(a, b) for a, b in truth if side[a] != side[b]]
+        assert roots(n, s.links(keys, shuffled, s.MAX_DISTANCE, side)) == roots(n, want) and want
+
+
+def test_cells_full_of_near_rows_keep_one_link_a_row(monkeypatch):
+    monkeypatch.setattr(s, "PAIRS_AT_ONCE", 50)
+    bits = np.zeros((400, s.BITS), np.uint8)
+    bits[np.arange(400), np.arange(400) % s.BITS] = 1
+    assert len(s.links(np.zeros(400, np.int64), np.packbits(bits, axis=1), s.MAX_DISTANCE)) == 399
+
+
+def test_edges_do_not_depend_on_the_count_of_points(spark, monkeypatch):
+    prints = alike()
+    monkeypatch.setattr(s, "agreement", lambda _: (15_000_000, np.full(s.SEGMENTS, 0.375)), raising=False)
+    points = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in enumerate(prints)], "id long, print binary")
+    found = [tuple(r) for r in s.near_edges(points).collect()]
+    truth = brute(prints, s.MAX_DISTANCE)
+    assert len(truth) >= 400 and roots(len(prints), found) == roots(len(prints), truth)
