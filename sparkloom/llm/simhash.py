@@ -130,25 +130,6 @@ def _counts(prints: np.ndarray) -> np.ndarray:
     return np.unpackbits(prints, axis=1).reshape(len(prints), SEGMENTS, 2).sum(axis=2, dtype=np.uint8)
 
 
-def agreement(points: DataFrame) -> tuple[int, np.ndarray]:
-    """How many points there are, and for each segment how often two of them agree in it."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((SEGMENTS, 3), np.int64)
-        for batch in batches:
-            held = _counts(fixed_binary(batch.column(0), BITS // 8))
-            for value in range(3):
-                total[:, value] += (held == value).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "n"])
-
-    total = np.zeros(SEGMENTS * 3)
-    for at, n in points.select("print").mapInArrow(work, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
-        total[at] = n
-    total = total.reshape(SEGMENTS, 3)
-    n = total[0].sum()
-    return int(n), ((total / max(1, n)) ** 2).sum(axis=1)
-
-
 def cells(prints: np.ndarray, plan: list[Band]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows and keys of the cells that each band wants them in.
 
@@ -333,8 +314,11 @@ def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def near_edges(points: DataFrame, max_distance: int = MAX_DISTANCE, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """Edges ``(u, v)`` that connect the near fingerprints of ``(id, print)``, which are distinct."""
-    plan = bands(*agreement(points), max_distance)
+    """Edges ``(u, v)`` that connect the near fingerprints of ``(id, print)``, which are distinct.
+
+    All pairs within the distance are connected; ``hot`` and ``block`` just share out the work.
+    """
+    plan = bands(None, None, max_distance)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

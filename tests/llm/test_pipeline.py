@@ -138,3 +138,19 @@ def test_empty_documents(spark, tmp_path):
 
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near dedup", "secret scans", "mixing", "packing"]
+
+
+def test_near_dedup_keeps_the_same_documents_in_a_large_table(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(250)]
+    rows = [(i, " ".join(words)) for i, words in enumerate(base)]
+    rows += [(1000 + i, " ".join([*words[24:], *(f"x{rng.randrange(10**6)}" for _ in range(24))])) for i, words in enumerate(base)]
+    words = np.ascontiguousarray(simhash.fingerprints([r[1] for r in rows])[1]).view(np.uint64)
+    apart = np.bitwise_count(words[:, None] ^ words[None]).sum(axis=2)
+    a, b = np.nonzero(np.triu(apart <= simhash.MAX_DISTANCE, 1))
+    assert len(a) > 100 and (b == a + 250).all()  # each near a single other one, so the later goes
+    want = {i for i, _ in rows} - {rows[i][0] for i in b}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    # what a count over a table of that size would say has no bearing on what is found
+    monkeypatch.setattr(simhash, "agreement", lambda _: (15_000_000, np.full(simhash.SEGMENTS, 0.375)), raising=False)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
