@@ -381,3 +381,16 @@ def test_choice_from_the_head_is_that_from_all(spark):
     bodies = spark.createDataFrame(list(sets.items()), "chunk_id string, body_hashes array<long>")
     whole = sorted(map(tuple, hybrid.diversify(df, bodies, 10, 1000).collect()))
     assert sorted(map(tuple, hybrid.diversify(df, bodies, 10, 15).collect())) == whole and len(whole) == 40
+
+
+def test_top_k_of_many_queries_by_long_ids(spark):
+    # more and longer ids from one task than Arrow makes one array of
+    n, rng = 2_000, np.random.default_rng(3)
+    own, asked = rng.integers(-3, 4, (n, 4)).astype(float), rng.integers(-3, 4, (200, 4)).astype(float)
+    names = np.array([f"{i * 7919 % n:064d}" for i in range(n)])
+    v = spark.createDataFrame([(a, b.tolist()) for a, b in zip(names.tolist(), own)], "chunk_id string, vector array<float>").coalesce(1)
+    q = spark.createDataFrame([(i, b.tolist()) for i, b in enumerate(asked)], "query_id long, vector array<float>")
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in vectors.top_k(v, q, 1500).collect()}
+    scores = asked @ own.T
+    want = {(i, rank + 1): names[c] for i in range(200) for rank, c in enumerate(np.lexsort((names, -scores[i]))[:1500])}
+    assert got == want
