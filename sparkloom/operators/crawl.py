@@ -40,11 +40,12 @@ def host_counts(content: DataFrame) -> DataFrame:
     return content.select(urls.host("url").alias("host")).where("host is not null").groupBy("host").agg(F.count("*").alias("n"))
 
 
-def admit(state: Mapping[str, DataFrame], links: DataFrame, max_depth: int = 6) -> DataFrame:
-    """Links ``(url, depth)`` as frontier rows, without what is seen, stored, over its host's cap or forbidden."""
+def admit(state: Mapping[str, DataFrame], links: DataFrame, max_depth: int = 6, caps: bool = True) -> DataFrame:
+    """Links ``(url, depth)`` as frontier rows, without what is seen, stored, over its host's cap (with ``caps``) or forbidden."""
     known = state["seen"].select("url").unionByName(state["content"].select("url")).distinct()
     none = state["seen"].select("url").limit(0)
-    return pages.admit(links, F.col("depth"), known, none, state["robots"], host_counts(state["content"]), max_depth)
+    counts = host_counts(state["content"] if caps else state["content"].limit(0))
+    return pages.admit(links, F.col("depth"), known, none, state["robots"], counts, max_depth)
 
 
 def recover(state: State) -> tuple[State, DataFrame]:
@@ -55,9 +56,9 @@ def recover(state: State) -> tuple[State, DataFrame]:
     return state | {"to_crawl": live}, left.select("live", (F.col("all") - F.col("live")).alias("purged"))
 
 
-def enqueue(state: State, links: DataFrame) -> State:
+def enqueue(state: State, links: DataFrame, caps: bool = True) -> State:
     """The state with admitted links ``(url, depth)`` added to the queue, unless they are queued already."""
-    fresh = admit(state, links).select("url", "depth").join(state["to_crawl"].select("url"), "url", "left_anti")
+    fresh = admit(state, links, caps=caps).select("url", "depth").join(state["to_crawl"].select("url"), "url", "left_anti")
     return state | {"to_crawl": state["to_crawl"].unionByName(fresh)}
 
 
@@ -68,14 +69,14 @@ def next_wave(state: State, per_host: int, limit: int | None = None, rate_ms: in
     return wave if limit is None else wave.orderBy("turn", "start_ms", F.desc("priority"), "url").limit(limit)
 
 
-def persist(state: State, wave: DataFrame, fetched: DataFrame, now_ms: int, left: int | None = None) -> tuple[State, DataFrame]:
+def persist(state: State, wave: DataFrame, fetched: DataFrame, now_ms: int, left: int | None = None, caps: bool = True) -> tuple[State, DataFrame]:
     """The state after a wave, and ``(url, reject_reason)`` of its rows.
 
     ``fetched`` has ``url, final_url, html`` and, if wanted, ``x_noindex`` and ``reject_reason`` (why a fetch
     failed). Rows without a page are rejected as ``fetch_failed``. All a page is called by (asked
     for, landed on, canonical) is seen and leaves the queue. Accepted pages, at most ``left`` of them
     and no more of a host than its cap leaves, enter content and the queue of pages to chunk. The outlinks of
-    accepted and rejected pages, one deeper, are admitted to the queue.
+    accepted and rejected pages, one deeper, are admitted to the queue; without ``caps`` those of hosts that are full too.
     """
     for name, kind in (("x_noindex", "boolean"), ("reject_reason", "string")):
         if name not in fetched.columns:
@@ -114,7 +115,7 @@ def persist(state: State, wave: DataFrame, fetched: DataFrame, now_ms: int, left
         "normalize_queue": state["normalize_queue"].unionByName(content.select("url")).distinct(),
     }
     report = judged.select("url", "reject_reason").unionByName(bad.select("url", F.col("reason").alias("reject_reason")))
-    return enqueue(after, links), report
+    return enqueue(after, links, caps), report
 
 
 def crawl(
