@@ -394,3 +394,10 @@ def test_top_k_of_many_queries_by_long_ids(spark):
     scores = asked @ own.T
     want = {(i, rank + 1): names[c] for i in range(200) for rank, c in enumerate(np.lexsort((names, -scores[i]))[:1500])}
     assert got == want
+
+
+def test_all_chunks_of_a_long_page(spark):
+    blocks = ", ".join(f"named_struct('heading_chain', array('H'), 'text', 'Sentence number {i}.')" for i in range(300))
+    page = spark.sql(f"SELECT 'u' AS url, 't' AS title, array({blocks}) AS blocks")
+    assert sorted(r.position for r in pages.chunk_records(page).select("position").collect()) == list(range(300))
+    assert pages.chunk_records(page, limit=pages.CHUNKS_PER_PAGE).count() == 220
